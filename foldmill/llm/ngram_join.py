@@ -10,14 +10,15 @@ equal sets are one class and are handled once.
    a share t of its n-grams occurs in other classes; the rest is done with.
 2. For what is left, n-grams are ordered by exact frequency, rare ones first,
    and the prefix filter makes buckets of classes that share a prefix n-gram.
-3. In each bucket, members are ranked (most shared prefix first). Rounds take
-   ever more of the first members as pivots and pair them with all later members
-   of other groups; length and positional bounds come first. A pair's overlap is
-   counted fragment by fragment and summed; pairs that link merge groups, so
-   that later rounds skip pairs inside a group. When all ranks were pivots, each
-   pair that shares a prefix was verified or lies in one group already: no link
-   between different texts is lost, and a group of k near copies costs far fewer
-   than k * k pairs.
+3. In each bucket, members are ranked (most shared prefix first). In two rounds
+   the first members are pivots, paired with all later members of other groups
+   that length and positional bounds allow; a pair's overlap is counted fragment
+   by fragment and summed, and pairs that link merge groups.
+4. Buckets that still hold several groups are settled, chunk by chunk of bounded
+   size: members outside the largest group are compared with all other groups.
+   So each pair that shares a prefix was compared or lies in one group already:
+   no link between different texts is lost, and a group of k near copies makes
+   far fewer than k * k pairs, none of which becomes a row unless it links.
 
 Results by case: null and wordless texts have 0 shingles and link with nothing;
 with fewer than ``k`` words the whole sequence is one shingle; repeated rows and
@@ -44,6 +45,10 @@ BLOCK_NGRAMS = 2_000_000
 BLOCK_DOCS = 60_000
 #: Fragments that a pair's overlap is counted in.
 PARTS = 4
+#: Ranks of the members that are pivots, round by round, before what is left of a bucket is settled.
+PIVOTS = [(1, 1), (2, 3)]
+#: N-grams of a chunk of a bucket.
+CHUNK = 400_000
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
@@ -219,12 +224,12 @@ def _fp_bloom(hopeful: DataFrame) -> Bloom:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token, cid, n, pos: places of shared n-grams in the prefix of the classes that can still reach the threshold; pos counts in the global order, rare first."""
+    """token, cid, n, pos, lone (n-grams no other class has): places of shared n-grams in the prefix of the classes that can still reach the threshold; pos counts in the global order, rare first."""
     need = F.ceil(F.col("n") * percent / 100)
     grams = sets.select("cid", "n", F.explode("grams").alias("token"))
     shared = grams.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
     ranked = shared.select("cid", "n", "token", F.row_number().over(Window.partitionBy("cid").orderBy("c", "token")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("cid")).alias("m"))
-    ranked = ranked.where(F.col("m") >= need).select("token", "cid", "n", (F.col("n") - F.col("m") + F.col("r") - 1).cast("int").alias("pos"))
+    ranked = ranked.where(F.col("m") >= need).select("token", "cid", "n", (F.col("n") - F.col("m") + F.col("r") - 1).cast("int").alias("pos"), (F.col("n") - F.col("m")).cast("int").alias("lone"))
     return saved(ranked.where(F.col("pos") <= F.col("n") - need), "ngram-prefixes")
 
 
@@ -260,6 +265,58 @@ def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(100 * o >= percent * (F.col("na") + F.col("nb") - o)).select("a", "b")
 
 
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold more than one group, with their group's label."""
+    now = members.withColumn("label", F.col("cid"))
+    if labels is not None:
+        now = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = now.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token")
+    return now.join(mixed, "token", "left_semi")
+
+
+def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the groups of each bucket, enough of them to merge all groups that link (a, b).
+
+    A bucket is cut into chunks of about CHUNK n-grams; each pair of chunks is
+    settled apart, so memory is bounded however large the bucket. There, each
+    member outside the largest group counts its overlap with all others by
+    postings, and a merger ends the comparisons inside the merged group.
+    """
+
+    def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(list(batches))
+        cid, label, n = (own.column(c).to_numpy() for c in ("cid", "label", "n"))
+        lists = own.column("grams").combine_chunks()
+        grams, sizes = lists.flatten().to_numpy(), np.asarray(lists.value_lengths())
+        owner = np.repeat(np.arange(len(cid)), sizes)
+        values, back = np.unique(grams, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        posts = np.split(owner[order], np.cumsum(np.bincount(back, minlength=len(values)))[:-1])
+        begin = np.r_[0, np.cumsum(sizes)]
+        names, lab, count = np.unique(label, return_inverse=True, return_counts=True)
+        out = []
+        for x in np.flatnonzero(lab != count.argmax()).tolist():
+            if (lab == lab[x]).all():
+                break
+            common = np.bincount(np.concatenate([posts[g] for g in back[begin[x] : begin[x + 1]].tolist()]), minlength=len(cid))
+            ok = (100 * common >= percent * (n[x] + n - common)) & (lab != lab[x])
+            while ok.any():
+                y = int(ok.argmax())
+                out.append((int(cid[x]), int(cid[y])))
+                lab[lab == lab[y]] = lab[x]
+                ok &= lab != lab[x]
+        cols = list(zip(*out)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+
+    before = F.sum("n").over(Window.partitionBy("token").orderBy("rank")) - F.col("n")
+    chunked = members.select("token", "cid", "label", "n", F.floor(before / CHUNK).cast("int").alias("chunk"))
+    last = chunked.groupBy("token").agg(F.max("chunk").alias("last"))
+    pairs = F.expr("transform(sequence(0, last), c -> struct(least(c, chunk) as i, greatest(c, chunk) as j))")
+    cut = chunked.join(last, "token").select("token", "cid", "label", "n", F.explode(pairs).alias("p")).select("token", "cid", "label", "n", "p.i", "p.j")
+    cut = cut.join(sets.select("cid", "grams"), "cid")
+    return cut.groupBy("token", "i", "j").applyInArrow(settle, "a long, b long").distinct()
+
+
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of ``docs``: rows link at a Jaccard similarity of ``percent`` or more. n_links counts the verified links of the row's class (those that the groups needed)."""
     spark = docs.sparkSession
@@ -274,33 +331,28 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = prefixes.join(score, "cid").withColumns({"rank": rank, "size": F.count(F.lit(1)).over(Window.partitionBy("token"))}).where("size > 1").drop("score")
     members = saved(members, "ngram-members")
     most = members.agg(F.max("size")).first()[0] or 0
-    labels, edges, tried, low, high = None, None, None, 1, 1
-    while low < most:
-        now = members
-        if labels is not None:
-            now = now.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        else:
-            now = now.withColumn("label", F.col("cid"))
-        mixed = now.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token")
-        now = now.join(mixed, "token", "left_semi")
-        a = now.where(F.col("rank").between(low, high)).select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        b = now.where(F.col("rank") > low).select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
-        most_common = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    labels, edges = None, None
+    for low, high in PIVOTS:
+        if low >= most:
+            break
+        now = _mixed(members, labels)
+        a = now.where(F.col("rank").between(low, high)).select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lone").alias("sa"), F.col("rank").alias("ra"), F.col("label").alias("la"))
+        b = now.where(F.col("rank") > low).select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lone").alias("sb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
+        # Before the place of a common n-gram only shared ones can match, behind it at most what is left of either.
+        most_common = F.least(F.col("pa") - F.col("sa"), F.col("pb") - F.col("sb")) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         enough = (100 + percent) * most_common >= percent * (F.col("na") + F.col("nb"))
         pairs = a.join(b, "token").where((F.col("ra") < F.col("rb")) & (F.col("la") != F.col("lb")) & enough)
         flip = F.col("a") > F.col("b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "ngram-pairs")
-        if not pairs.isEmpty():
-            found = saved(_linked(pairs, parts, percent), "ngram-links")
-            tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-            if not found.isEmpty():
-                edges = found if edges is None else edges.union(found)
-                labels = components(edges)
-            release(spark)
-        low, high = high + 1, high * 4 + 1
+        found = saved(_linked(saved(pairs, "ngram-pairs"), parts, percent), "ngram-links")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges)
+        release(spark)
+    rest = saved(_settled(_mixed(members, labels), sets, percent), "ngram-rest")
+    if not rest.isEmpty():
+        edges = rest if edges is None else edges.union(rest)
+        labels = components(edges)
     first = saved(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "ngram-first")
     kind = docs.schema["doc_id"].dataType.simpleString()
     if labels is None:
