@@ -13,7 +13,7 @@ from foldmill.llm.bpe import bpe_encode, default_path
 from foldmill.llm.decontaminate import find_contamination
 from foldmill.llm.line_dedup import dedup_lines
 from foldmill.llm.ngram_join import link_documents
-from foldmill.llm.quality_classifier import score_quality, train_quality
+from foldmill.llm.quality_classifier import keep_good, train_quality
 
 #: Parts of the pipeline that SQL can't express: training, hashing of ids by merges. Tested against brute force instead.
 ORACLE_SQL = None
@@ -21,13 +21,12 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in ``gone``; a null id is never in it."""
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go; the model's expression is a filter of the same scan."""
-    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, scored.where("predicted = 0"))
+    return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,7 +71,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with text without later repeated runs, and _n_lines, _n_removed, _runs beside its own columns."""
     runs = repeated_runs(docs, min_words).withColumnsRenamed({k: f"r{k}" for k in _KEY})
     on = F.col("_d").eqNullSafe(F.col("r_d")) & (F.col("_k1") == F.col("r_k1")) & (F.col("_k2") == F.col("r_k2"))
-    out = _keyed(docs).join(runs, on, "left")
+    # Texts are dealt by key at every size: small or large, the plan is the same.
+    out = _keyed(docs).join(runs.hint("merge"), on, "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.expr("transform(sequence(0, size(runs)), i -> struct(if(i = 0, 0, runs[i - 1].last + 1) as s, if(i = size(runs), size(_l), get(runs, i).first) as e))")
     out = out.withColumn("_l", F.when(F.col("runs").isNotNull(), lines)).withColumn("_s", F.when(F.col("runs").isNotNull(), kept))

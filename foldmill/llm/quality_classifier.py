@@ -53,16 +53,20 @@ def text_stats(text: bytes) -> list[float]:
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """All columns of every row, and the statistics, as columns named _ and the statistic (a column of such a name is replaced)."""
+    own = [c for c in docs.columns if c not in {f"_{s}" for s in STATS}]
+    kept = docs.select(*own)
+    at = own.index("text")
 
     def run(batches):
         for batch in batches:
-            cols = list(zip(*(text_stats(t or b"") for t in as_bytes(batch.column(1))))) or [()] * len(STATS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], names=["doc_id", *STATS])
+            cols = list(zip(*(text_stats(t or b"") for t in as_bytes(batch.column(at))))) or [()] * len(STATS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in cols)], names=[*batch.schema.names, *(f"_{s}" for s in STATS)])
 
-    own = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATS))
+    schema = kept.withColumn("text", F.col("text").cast("string")).schema
+    for s in STATS:
+        schema = schema.add(f"_{s}", "double")
+    return kept.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,7 +129,7 @@ class RuleModel:
         for rule, weight in self.rules:
             test = F.lit(True)
             for f, above, t in rule:
-                test &= (F.col(STATS[f]) > t) if above else (F.col(STATS[f]) <= t)
+                test &= (F.col(f"_{STATS[f]}") > t) if above else (F.col(f"_{STATS[f]}") <= t)
             z = z + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
@@ -170,20 +174,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
     """Learns ``label`` from the folds for learning, on at most ``max_rows`` labelled rows."""
     sample = labelled(docs, labels, label, max_rows)
 
-    def run(batches):
-        for batch in batches:
-            cols = list(zip(*(text_stats(t or b"") for t in as_bytes(batch.column(1))))) or [()] * len(STATS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.float64()) for c in cols)], names=["doc_id", "label", *STATS])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, f"doc_id {kind}, label int, " + ", ".join(f"{s} double" for s in STATS)).toPandas()
+    got = with_stats(sample).select("doc_id", "label", *(F.col(f"_{s}").alias(s) for s in STATS)).toPandas()
     got = got.sort_values(["doc_id", *STATS], kind="stable")
     return fit_rules(got[STATS].to_numpy(float), (got["label"].to_numpy() > 0).astype(float))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    return with_stats(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    own = with_stats(docs.select("doc_id", "text")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    return own.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` that the model accepts, in one scan."""
+    return with_stats(docs).where(model.column() >= threshold).select(*docs.columns)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
