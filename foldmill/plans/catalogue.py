@@ -1,4 +1,327 @@
 """Registered queries and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foldmill.functions import security
+from foldmill.functions.detect import TEXT, TOKEN, detect
+from foldmill.functions.text import cost, est_tokens, preview, sha16, split_lines
+from foldmill.operators import analytical as an
+from foldmill.operators import dictionary as di
+from foldmill.operators import engine
+from foldmill.operators.profile import common_prefixes, int_sequences, profile_columns
+from foldmill.sources import payloads as src
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+T = F.col("text")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_EST = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(text) / 4.0) AS BIGINT)) END"
+
+
+@query(f"SELECT doc_id AS payload_id, CAST(length(text) AS BIGINT) AS chars, CAST({_EST} AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return src.documents(spark, sf).select("payload_id", F.length("text").cast("long").alias("chars"), est_tokens(T).alias("tokens"))
+
+
+@query(f"SELECT lang, count(*) AS n, CAST(sum({_EST}) AS BIGINT) AS tokens, round(sum({_EST}) * 3.0 / 1000000, 9) AS usd FROM documents GROUP BY lang")
+def cost_stats_by_lang(spark, sf):
+    out = src.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(est_tokens(T)).alias("tokens"))
+    return out.withColumn("usd", cost(F.col("tokens")))
+
+
+_ALL = "SELECT 'documents' AS src, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'conversations', text FROM conversations"
+
+
+def _all_text(spark, sf):
+    pick = lambda name, col: src.table(spark, sf, name).select(F.lit(name).alias("src"), F.col(col).alias("text"))
+    return pick("documents", "text").unionByName(pick("pages", "html")).unionByName(pick("conversations", "text"))
+
+
+@query(f"""SELECT src, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines,
+  CAST(sum(CASE WHEN regexp_matches(trim(text), '^[\\[{{]') THEN 1 ELSE 0 END) AS BIGINT) AS json_like, CAST(sum(CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 1 ELSE 0 END) AS BIGINT) AS non_ascii
+  FROM ({_ALL}) GROUP BY src""")
+def feature_profile(spark, sf):
+    return _all_text(spark, sf).groupBy("src").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.size(split_lines(T))).alias("lines"),
+        F.count_if(src.is_json_like(T)).alias("json_like"), F.count_if(T.rlike(r"[^\x00-\x7F]")).alias("non_ascii"),
+    )
+
+
+_DETECT = {
+    "blob_ref": "regexp_matches(text, '[A-Za-z0-9+/]{160,}={0,2}')", "sidecar_ref": "length(text) >= 3000",
+    "terraform_plan": "contains(text, 'Terraform will perform') OR contains(text, 'resource_changes') OR contains(text, 'Plan:')",
+    "ci_output": "contains(text, chr(10)) AND regexp_matches(lower(text), 'failed|traceback|error:|pytest|passed|exit code')",
+    "html_visible": r"regexp_matches(text, '(?i)<html|<body|<div|<table|<a\s')",
+    "chunk_store": "length(text) >= 1200 AND (contains(text, chr(10) || chr(10)) OR length(text) - length(replace(text, chr(10), '')) >= 20)",
+    "separator_segments": "length(text) >= 500 AND (contains(text, chr(10) || chr(10)) OR contains(text, '---' || chr(10)) OR length(text) - length(replace(text, chr(10), '')) >= 20)",
+    "log_templates": "len(string_split(text, chr(10))) >= 8", "atom_dict": "length(text) >= 500", "meta_tokens": "length(text) >= 700",
+    "pattern_hash": "contains(text, chr(10))", "transport_deflate": "length(text) >= 600",
+    "extractive": r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 500",
+    "xml_path": r"regexp_matches(text, '^\s*<') AND ends_with(text, '>')",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT src, '{k}' AS kind, CAST(sum(CASE WHEN {v} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ({_ALL}) GROUP BY src" for k, v in _DETECT.items()))
+def detector_matrix(spark, sf):
+    """Counts of the detectors that SQL words alike; detector_counts has all."""
+    names = list(_DETECT)
+    wide = _all_text(spark, sf).select("src", *detect(T, names)).groupBy("src").agg(*(F.count_if(k).alias(k) for k in names))
+    return wide.unpivot("src", names, "kind", "n")
+
+
+@query()
+def detector_counts(spark, sf):
+    wide = _all_text(spark, sf).select("src", *detect(T)).groupBy("src").agg(*(F.count_if(k).alias(k) for k in TEXT))
+    return wide.unpivot("src", list(TEXT), "kind", "n")
+
+
+_FOUND = " UNION ALL ".join(f"SELECT src, id, '{k}' AS kind, unnest(regexp_extract_all(text, '{v.replace(chr(39), chr(39) * 2)}', 0)) AS value FROM x" for k, v in security.PATTERNS.items())
+
+
+@query(f"WITH x AS (SELECT 'documents' AS src, doc_id AS id, text FROM documents) SELECT id AS payload_id, kind, value FROM ({_FOUND})")
+def secret_findings(spark, sf):
+    return src.documents(spark, sf).select("payload_id", F.explode(security.findings(T)).alias("f")).select("payload_id", "f.kind", "f.value")
+
+
+@query(f"WITH x AS (SELECT src, 0 AS id, text FROM ({_ALL})) SELECT src, kind, count(*) AS n, count(DISTINCT value) AS n_distinct FROM ({_FOUND}) GROUP BY src, kind")
+def secret_counts_by_kind(spark, sf):
+    found = _all_text(spark, sf).select("src", F.explode(security.findings(T)).alias("f"))
+    return found.groupBy("src", "f.kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("f.value").alias("n_distinct")).withColumnRenamed("f.kind", "kind")
+
+
+_RED = "text"
+for _k, _v in security.PATTERNS.items():
+    _RED = f"regexp_replace({_RED}, '{_v.replace(chr(39), chr(39) * 2)}', '[REDACTED_{_k.upper()}]', 'g')"
+
+
+@query(f"SELECT doc_id AS payload_id, left(sha256({_RED}), 16) AS sha16, {_RED} <> text AS changed FROM documents")
+def redacted_documents(spark, sf):
+    red = src.documents(spark, sf).select("payload_id", "text", security.redact(T).alias("r"))
+    return red.select("payload_id", sha16(F.col("r")).alias("sha16"), (F.col("r") != T).alias("changed"))
+
+
+_ANY = "({})".format(" OR ".join(f"regexp_matches({{t}}, '{v.replace(chr(39), chr(39) * 2)}')" for v in security.PATTERNS.values()).replace("{16}", "{{16}}").replace("{16,}", "{{16,}}"))
+
+
+@query(f"SELECT count(*) AS n, CAST(sum(CASE WHEN {_ANY.format(t='text')} THEN 1 ELSE 0 END) AS BIGINT) AS with_secret, CAST(sum(CASE WHEN {_ANY.format(t='r')} THEN 1 ELSE 0 END) AS BIGINT) AS leaks FROM (SELECT text, {_RED} AS r FROM documents)")
+def redaction_leak_check(spark, sf):
+    red = src.documents(spark, sf).select("text", security.redact(T).alias("r"))
+    return red.agg(F.count(F.lit(1)).alias("n"), F.count_if(security.has_secret(T)).alias("with_secret"), F.count_if(security.has_secret(F.col("r"))).alias("leaks"))
+
+
+@query(f"SELECT doc_id AS payload_id, {_ANY.format(t='text')} AS blocked, CASE WHEN {_ANY.format(t='text')} THEN NULL ELSE CAST(length(text) AS BIGINT) END AS chars FROM documents")
+def secret_gate(spark, sf):
+    return security.gate(src.documents(spark, sf)).select("payload_id", "blocked", F.length("safe_text").cast("long").alias("chars"))
+
+
+@query("SELECT sha256(text) AS digest, any_value(CAST(length(text) AS BIGINT)) AS chars, min(doc_id) AS first_id, any_value(replace(left(text, 120), chr(10), '\\n')) AS preview FROM documents GROUP BY 1")
+def original_store(spark, sf):
+    return src.documents(spark, sf).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("chars"), "payload_id", preview(T, 120).alias("preview")).groupBy("digest").agg(F.first("chars").alias("chars"), F.min("payload_id").alias("first_id"), F.first("preview").alias("preview"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT sha256(text)) AS n_distinct, round(1 - count(DISTINCT sha256(text)) / count(*), 4) AS saved FROM documents")
+def store_dedupe_ratio(spark, sf):
+    out = src.documents(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.sha2("text", 256)).alias("n_distinct"))
+    return out.withColumn("saved", F.round(1 - F.col("n_distinct") / F.col("n"), 4))
+
+
+@query("SELECT d.doc_id AS payload_id, s.doc_id AS stored_id, d.text = s.text AS same FROM documents d JOIN (SELECT sha256(text) AS digest, min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY 1) s ON sha256(d.text) = s.digest")
+def store_retrieve(spark, sf):
+    docs = src.documents(spark, sf).withColumn("digest", F.sha2("text", 256))
+    store = docs.groupBy("digest").agg(F.min(F.struct("payload_id", "text")).alias("s"))
+    return docs.join(store, "digest").select("payload_id", F.col("s.payload_id").alias("stored_id"), (T == F.col("s.text")).alias("same"))
+
+
+@query("SELECT DISTINCT sha256(text) AS digest FROM conversations WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents)")
+def store_antijoin(spark, sf):
+    new = src.table(spark, sf, "conversations").select(F.sha2("text", 256).alias("digest")).where("digest is not null").distinct()
+    return new.join(src.documents(spark, sf).select(F.sha2("text", 256).alias("digest")), "digest", "left_anti")
+
+
+_LINES = "l AS (SELECT doc_id AS payload_id, ls[i] AS line, i AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+
+
+@query(f"WITH {_LINES} SELECT payload_id, line, count(*) AS n, CAST(dense_rank() OVER (PARTITION BY payload_id ORDER BY min(pos)) - 1 AS BIGINT) AS id FROM l GROUP BY payload_id, line")
+def line_dictionary(spark, sf):
+    lines = src.documents(spark, sf).select("payload_id", F.posexplode(split_lines(T)).alias("pos", "line"))
+    counted = lines.groupBy("payload_id", "line").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    rank = F.dense_rank().over(Window.partitionBy("payload_id").orderBy("first")) - 1
+    return counted.select("payload_id", "line", "n", rank.cast("long").alias("id"))
+
+
+_PH = f"""WITH {_LINES}, c AS (SELECT payload_id, line, min(pos) AS first FROM l GROUP BY 1, 2 HAVING count(*) > 1 AND length(line) > 8),
+k AS (SELECT *, row_number() OVER (PARTITION BY payload_id ORDER BY first) - 1 AS id FROM c),
+d AS (SELECT payload_id, string_agg('#' || id || '=' || line, chr(10) ORDER BY id) AS dict FROM k GROUP BY 1),
+r AS (SELECT l.payload_id, string_agg(coalesce('#' || k.id, l.line), chr(10) ORDER BY l.pos) AS rows FROM l LEFT JOIN k ON l.payload_id = k.payload_id AND l.line = k.line GROUP BY 1)
+SELECT r.payload_id, left(sha256('<foldmill:pattern_hash_v1>' || chr(10) || '@dict' || chr(10) || dict || chr(10) || '@rows' || chr(10) || rows), 16) AS sha16 FROM r JOIN d USING (payload_id)"""
+
+
+@query(_PH)
+def pattern_hash_encode(spark, sf):
+    coded = src.documents(spark, sf).where(TEXT["pattern_hash"](T)).select("payload_id", "text", di.pattern_hash(T).alias("p"))
+    return coded.where(F.col("p") != T).select("payload_id", sha16(F.col("p")).alias("sha16"))
+
+
+def _round_trip(encode, decode, kind):
+    def run(spark, sf):
+        coded = src.documents(spark, sf).where(TEXT[kind](T)).select("payload_id", "text", encode(T).alias("p"))
+        return coded.select("payload_id", (decode(F.col("p")) == T).alias("same"))
+
+    run.__name__ = f"{kind}_roundtrip"
+    return run
+
+
+query("SELECT doc_id AS payload_id, true AS same FROM documents WHERE contains(text, chr(10))")(_round_trip(di.pattern_hash, di.pattern_hash_decode, "pattern_hash"))
+query(f"SELECT doc_id AS payload_id, true AS same FROM documents WHERE {_DETECT['separator_segments']}")(_round_trip(di.separator_segments, di.separator_segments_decode, "separator_segments"))
+query(f"SELECT doc_id AS payload_id, true AS same FROM documents WHERE {_DETECT['chunk_store']}")(_round_trip(di.chunk_store, di.chunk_store_decode, "chunk_store"))
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT payload_id, line, min(pos) AS first FROM l GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY payload_id ORDER BY first) - 1 AS id FROM c),
+s AS (SELECT l.payload_id, count(DISTINCT k.id) AS n_dict, count(*) AS n_parts, string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY l.pos) AS seq FROM l JOIN k ON l.payload_id = k.payload_id AND l.line = k.line GROUP BY 1)
+SELECT s.payload_id, seq FROM s JOIN documents d ON s.payload_id = d.doc_id WHERE {_DETECT['separator_segments']} AND n_dict <= n_parts * 0.8""")
+def separator_segments_encode(spark, sf):
+    coded = src.documents(spark, sf).where(TEXT["separator_segments"](T)).select("payload_id", "text", di.separator_segments(T).alias("p"))
+    return coded.where(F.col("p") != T).select("payload_id", F.regexp_extract("p", r"\nseq=([0-9,]*)$", 1).alias("seq"))
+
+
+@query(f"SELECT doc_id AS payload_id, '<foldmill:sidecar_ref_v1>' || chr(10) || 'sha256=' || sha256(text) || ' chars=' || length(text) || chr(10) || 'preview=' || replace(left(text, 400), chr(10), '\\n') AS payload FROM documents WHERE length(text) >= 3000")
+def sidecar_ref_encode(spark, sf):
+    return src.documents(spark, sf).where(TEXT["sidecar_ref"](T)).select("payload_id", di.sidecar_ref(T).alias("payload"))
+
+
+@query(f"WITH {src.LOGS_SQL} SELECT payload_id, coalesce(nullif(regexp_extract(line, '\\b(ERROR|WARN|WARNING|INFO|DEBUG|TRACE|CRITICAL)\\b', 1), ''), 'none') AS level, count(*) AS n FROM (SELECT payload_id, unnest(string_split(text, chr(10))) AS line FROM v_logs) GROUP BY 1, 2")
+def log_level_histogram(spark, sf):
+    lines = src.logs(spark, sf).select("payload_id", F.explode(split_lines(T)).alias("line"))
+    level = F.regexp_extract("line", an.LEVEL, 1)
+    return lines.groupBy("payload_id", F.when(level == "", "none").otherwise(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_TPL = rf"""WITH {src.LOGS_SQL}, g AS (SELECT payload_id, line, regexp_split_to_array(line, '(?:[A-Za-z_]+)=(?:[^\s]+)|\b\d{{1,4}}(?:[-:/]\d{{1,4}})+(?:Z)?\b|\b\d+\b|[0-9a-f]{{8,}}\b') AS gaps FROM (SELECT payload_id, unnest(string_split(text, chr(10))) AS line FROM v_logs)),
+t AS (SELECT payload_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i < len(gaps) THEN '{{v' || (i - 1) || '}}' ELSE '' END), '') AS template FROM g)"""
+
+
+@query(_TPL + " SELECT payload_id, template, count(*) AS n FROM t GROUP BY 1, 2")
+def log_template_counts(spark, sf):
+    lines = src.logs(spark, sf).select("payload_id", F.explode(split_lines(T)).alias("line"))
+    return lines.select("payload_id", an.template(F.col("line"))[0].alias("template")).groupBy("payload_id", "template").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {src.LOGS_SQL}, e AS (SELECT payload_id, line, row_number() OVER (PARTITION BY payload_id ORDER BY pos) AS k FROM (SELECT payload_id, ls[i] AS line, i AS pos FROM (SELECT payload_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM v_logs)) WHERE regexp_matches(line, 'ERROR|CRITICAL|WARN|WARNING')) SELECT payload_id, CAST(k - 1 AS BIGINT) AS pos, line FROM e WHERE k <= 30")
+def log_error_examples(spark, sf):
+    found = F.slice(F.filter(split_lines(T), lambda x: x.rlike("ERROR|CRITICAL|WARN|WARNING")), 1, 30)
+    return src.logs(spark, sf).select("payload_id", F.posexplode(found).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(rf"WITH {src.CI_SQL}, l AS (SELECT payload_id, unnest(string_split(text, chr(10))) AS x FROM v_ci) SELECT payload_id, count(*) AS lines, count(*) FILTER (regexp_matches(x, '\bPASSED\b|\bpassed\b')) AS passed, count(*) FILTER (contains(lower(x), 'warning')) AS warnings, count(*) FILTER (regexp_matches(x, 'FAILED|ERROR|Traceback|AssertionError|exit code|Exception')) AS failures FROM l GROUP BY 1")
+def ci_summary(spark, sf):
+    c = an.ci_counts(T)
+    return src.ci(spark, sf).select("payload_id", *(c[k].alias(k) for k in ("lines", "passed", "warnings", "failures")))
+
+
+_CLEAN = "trim(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'))"
+
+
+@query(f"SELECT page_id AS payload_id, {_CLEAN.format(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))} AS title, CAST(len(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1)) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '(?is)<a[^>]+href=[''\"]([^''\"]+)[''\"][^>]*>(.*?)</a>', 1)) AS BIGINT) AS links FROM pages")
+def html_outline(spark, sf):
+    pages = src.table(spark, sf, "pages").select(F.col("page_id").alias("payload_id"), F.col("html").alias("text"))
+    p = an.html_parts(T)
+    return pages.select("payload_id", p["title"].alias("title"), F.size(p["headings"]).cast("long").alias("headings"), F.size(p["links"]).cast("long").alias("links"))
+
+
+@query("SELECT page_id AS payload_id, CAST(i - 1 AS BIGINT) AS pos, hs[i] AS href FROM (SELECT page_id, hs, unnest(range(1, least(len(hs), 120) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=[''\"]([^''\"]+)[''\"][^>]*>(.*?)</a>', 1) AS hs FROM pages))")
+def html_links(spark, sf):
+    rx = r"""(?is)<a[^>]+href=['\"]([^'\"]+)['\"][^>]*>(.*?)</a>"""
+    found = F.slice(F.regexp_extract_all("html", F.lit(rx), F.lit(1)), 1, 120)
+    return src.table(spark, sf, "pages").select(F.col("page_id").alias("payload_id"), F.posexplode(found).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
+
+
+#: Words left out of word counts.
+STOP = "that this with from have will your into about there their which when"
+
+
+@query(f"""SELECT word, n FROM (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS k FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]+')) AS word FROM documents)
+  WHERE length(word) > 3 AND word NOT IN ({", ".join(f"'{w}'" for w in STOP.split())}) GROUP BY word) WHERE k <= 100""")
+def word_frequency_topk(spark, sf):
+    """The 100 most frequent words: a top-k report over all documents."""
+    words = src.documents(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9_-]+"), F.lit(0))).alias("word"))
+    return words.where((F.length("word") > 3) & ~F.col("word").isin(STOP.split())).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100)
+
+
+@query("SELECT doc_id AS payload_id, CAST(len(regexp_extract_all(text, '\\s+|[A-Za-z0-9_./:@=-]+|[^\\w\\s]')) AS BIGINT) AS tokens FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def token_counts(spark, sf):
+    return src.documents(spark, sf).where(~T.rlike(r"[^\x00-\x7F]")).select("payload_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"))
+
+
+@query("""SELECT o_custkey AS payload_id, key, count(DISTINCT value) AS n_distinct, count(DISTINCT value) = 1 AS constant, count(DISTINCT value) <= least(64, greatest(2, count(*) // 2)) AS enum FROM
+  (SELECT o_custkey, unnest(['status', 'priority', 'day']) AS key, unnest([o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d')]) AS value FROM orders) GROUP BY 1, 2""")
+def column_profile(spark, sf):
+    rows = src.table(spark, sf, "orders").select(F.col("o_custkey").alias("payload_id"), F.explode(F.map_from_arrays(F.array(F.lit("status"), F.lit("priority"), F.lit("day")), F.array("o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd")))).alias("key", "value"))
+    return profile_columns(rows)
+
+
+@query("""SELECT l_orderkey AS payload_id, count(*) AS n, CASE WHEN count(*) >= 3 AND count(DISTINCT d) = 1 THEN min(d) END AS step FROM
+  (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) - lag(CAST(l_linenumber AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS d FROM lineitem) GROUP BY 1""")
+def int_sequence_columns(spark, sf):
+    rows = src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("payload_id"), F.col("l_linenumber").cast("long").alias("value"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("row"))
+    return int_sequences(rows)
+
+
+@query("""SELECT t AS tbl, p AS prefix FROM (SELECT t, list_aggregate(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CASE WHEN left(a, i) = left(b, i) THEN left(a, i) ELSE '' END), 'max') AS p FROM
+  (SELECT 'customer' AS t, min(c_name) AS a, max(c_name) AS b FROM customer UNION ALL SELECT 'supplier', min(s_name), max(s_name) FROM supplier))""")
+def common_prefix_columns(spark, sf):
+    names = src.table(spark, sf, "customer").select(F.lit("customer").alias("tbl"), F.col("c_name").alias("value")).union(src.table(spark, sf, "supplier").select(F.lit("supplier"), "s_name"))
+    return common_prefixes(names, "tbl")
+
+
+@query()
+def candidates_best(spark, sf):
+    return engine.best(src.documents(spark, sf)).select("payload_id", "kind", "raw_tokens", "tokens", "pct_saved")
+
+
+_BEST = f"""b AS (SELECT doc_id, {_EST} AS raw, length(text) AS n,
+  CASE WHEN n >= 3000 THEN CAST(floor(length('<foldmill:sidecar_ref_v1>' || chr(10) || 'sha256=' || sha256(text) || ' chars=' || length(text) || chr(10) || 'preview=' || replace(left(text, 400), chr(10), '\\n')) / 4.0) AS BIGINT) END AS t FROM (SELECT *, length(text) AS n FROM documents))"""
+
+
+@query(f"WITH {_BEST} SELECT CASE WHEN t IS NULL THEN 'none' ELSE 'sidecar_ref' END AS kind, count(*) AS n, CAST(sum(raw) AS BIGINT) AS raw_tokens, CAST(sum(coalesce(t, raw)) AS BIGINT) AS tokens, round(median(CASE WHEN raw > 0 THEN round((raw - coalesce(t, raw)) * 100.0 / raw, 2) ELSE 0 END), 4) AS median_pct FROM b GROUP BY 1")
+def savings_by_reference(spark, sf):
+    """Savings where only references to the store compete."""
+    return _savings(engine.best(src.documents(spark, sf), names=["sidecar_ref"]))
+
+
+def _savings(b: DataFrame) -> DataFrame:
+    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("raw_tokens").alias("raw_tokens"), F.sum("tokens").alias("tokens"), F.round(F.median("pct_saved"), 4).alias("median_pct"))
+
+
+@query()
+def savings_by_strategy(spark, sf):
+    return _savings(engine.best(src.documents(spark, sf), engine.Config(reversible_only=True)))
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user_text' WHEN 'tool' THEN 'tool_result' ELSE 'developer_text' END AS source, 'messages[' || turn || '].content' AS path, CAST(length(text) AS BIGINT) AS chars FROM conversations WHERE role IN ('user', 'tool', 'developer') AND length(text) >= 512 AND NOT contains(text, '<foldmill:')")
+def request_targets(spark, sf):
+    from foldmill.operators.gateway import targets
+
+    turns = src.table(spark, sf, "conversations")
+    return targets(turns, 512).select("conv_id", "turn", "source", "path", F.length("text").cast("long").alias("chars"))
+
+
+@query("""SELECT class, mode, CASE WHEN class = 'prompt_readable_reversible' OR (class = 'externalized_reversible' AND mode <> 'strict') OR (class = 'local_decode_reversible' AND mode = 'local_decode') OR (class = 'lossy_analytical' AND mode = 'lossy_allowed') THEN true ELSE false END AS allowed
+  FROM (VALUES ('none'), ('prompt_readable_reversible'), ('externalized_reversible'), ('local_decode_reversible'), ('lossy_analytical')) c(class), (VALUES ('strict'), ('externalized'), ('local_decode'), ('lossy_allowed')) m(mode)""")
+def policy_decisions(spark, sf):
+    from foldmill.operators.gateway import decision_table
+
+    return decision_table(spark).select("class", "mode", "allowed")
