@@ -16,7 +16,11 @@ from foldmill.sources import payloads as src
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-T = F.col("text")
+
+
+def T():
+    return F.col("text")
+
 
 
 def query(sql: str | None = None):
@@ -34,12 +38,12 @@ _EST = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(tex
 
 @query(f"SELECT doc_id AS payload_id, CAST(length(text) AS BIGINT) AS chars, CAST({_EST} AS BIGINT) AS tokens FROM documents")
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    return src.documents(spark, sf).select("payload_id", F.length("text").cast("long").alias("chars"), est_tokens(T).alias("tokens"))
+    return src.documents(spark, sf).select("payload_id", F.length("text").cast("long").alias("chars"), est_tokens(T()).alias("tokens"))
 
 
 @query(f"SELECT lang, count(*) AS n, CAST(sum({_EST}) AS BIGINT) AS tokens, round(sum({_EST}) * 3.0 / 1000000, 9) AS usd FROM documents GROUP BY lang")
 def cost_stats_by_lang(spark, sf):
-    out = src.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(est_tokens(T)).alias("tokens"))
+    out = src.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(est_tokens(T())).alias("tokens"))
     return out.withColumn("usd", cost(F.col("tokens")))
 
 
@@ -56,8 +60,8 @@ def _all_text(spark, sf):
   FROM ({_ALL}) GROUP BY src""")
 def feature_profile(spark, sf):
     return _all_text(spark, sf).groupBy("src").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.size(split_lines(T))).alias("lines"),
-        F.count_if(src.is_json_like(T)).alias("json_like"), F.count_if(T.rlike(r"[^\x00-\x7F]")).alias("non_ascii"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.size(split_lines(T()))).alias("lines"),
+        F.count_if(src.is_json_like(T())).alias("json_like"), F.count_if(T().rlike(r"[^\x00-\x7F]")).alias("non_ascii"),
     )
 
 
@@ -79,13 +83,13 @@ _DETECT = {
 def detector_matrix(spark, sf):
     """Counts of the detectors that SQL words alike; detector_counts has all."""
     names = list(_DETECT)
-    wide = _all_text(spark, sf).select("src", *detect(T, names)).groupBy("src").agg(*(F.count_if(k).alias(k) for k in names))
+    wide = _all_text(spark, sf).select("src", *detect(T(), names)).groupBy("src").agg(*(F.count_if(k).alias(k) for k in names))
     return wide.unpivot("src", names, "kind", "n")
 
 
 @query()
 def detector_counts(spark, sf):
-    wide = _all_text(spark, sf).select("src", *detect(T)).groupBy("src").agg(*(F.count_if(k).alias(k) for k in TEXT))
+    wide = _all_text(spark, sf).select("src", *detect(T())).groupBy("src").agg(*(F.count_if(k).alias(k) for k in TEXT))
     return wide.unpivot("src", list(TEXT), "kind", "n")
 
 
@@ -94,12 +98,12 @@ _FOUND = " UNION ALL ".join(f"SELECT src, id, '{k}' AS kind, unnest(regexp_extra
 
 @query(f"WITH x AS (SELECT 'documents' AS src, doc_id AS id, text FROM documents) SELECT id AS payload_id, kind, value FROM ({_FOUND})")
 def secret_findings(spark, sf):
-    return src.documents(spark, sf).select("payload_id", F.explode(security.findings(T)).alias("f")).select("payload_id", "f.kind", "f.value")
+    return src.documents(spark, sf).select("payload_id", F.explode(security.findings(T())).alias("f")).select("payload_id", "f.kind", "f.value")
 
 
 @query(f"WITH x AS (SELECT src, 0 AS id, text FROM ({_ALL})) SELECT src, kind, count(*) AS n, count(DISTINCT value) AS n_distinct FROM ({_FOUND}) GROUP BY src, kind")
 def secret_counts_by_kind(spark, sf):
-    found = _all_text(spark, sf).select("src", F.explode(security.findings(T)).alias("f"))
+    found = _all_text(spark, sf).select("src", F.explode(security.findings(T())).alias("f"))
     return found.groupBy("src", "f.kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("f.value").alias("n_distinct")).withColumnRenamed("f.kind", "kind")
 
 
@@ -110,8 +114,8 @@ for _k, _v in security.PATTERNS.items():
 
 @query(f"SELECT doc_id AS payload_id, left(sha256({_RED}), 16) AS sha16, {_RED} <> text AS changed FROM documents")
 def redacted_documents(spark, sf):
-    red = src.documents(spark, sf).select("payload_id", "text", security.redact(T).alias("r"))
-    return red.select("payload_id", sha16(F.col("r")).alias("sha16"), (F.col("r") != T).alias("changed"))
+    red = src.documents(spark, sf).select("payload_id", "text", security.redact(T()).alias("r"))
+    return red.select("payload_id", sha16(F.col("r")).alias("sha16"), (F.col("r") != T()).alias("changed"))
 
 
 _ANY = "({})".format(" OR ".join(f"regexp_matches({{t}}, '{v.replace(chr(39), chr(39) * 2)}')" for v in security.PATTERNS.values()).replace("{16}", "{{16}}").replace("{16,}", "{{16,}}"))
@@ -119,8 +123,8 @@ _ANY = "({})".format(" OR ".join(f"regexp_matches({{t}}, '{v.replace(chr(39), ch
 
 @query(f"SELECT count(*) AS n, CAST(sum(CASE WHEN {_ANY.format(t='text')} THEN 1 ELSE 0 END) AS BIGINT) AS with_secret, CAST(sum(CASE WHEN {_ANY.format(t='r')} THEN 1 ELSE 0 END) AS BIGINT) AS leaks FROM (SELECT text, {_RED} AS r FROM documents)")
 def redaction_leak_check(spark, sf):
-    red = src.documents(spark, sf).select("text", security.redact(T).alias("r"))
-    return red.agg(F.count(F.lit(1)).alias("n"), F.count_if(security.has_secret(T)).alias("with_secret"), F.count_if(security.has_secret(F.col("r"))).alias("leaks"))
+    red = src.documents(spark, sf).select("text", security.redact(T()).alias("r"))
+    return red.agg(F.count(F.lit(1)).alias("n"), F.count_if(security.has_secret(T())).alias("with_secret"), F.count_if(security.has_secret(F.col("r"))).alias("leaks"))
 
 
 @query(f"SELECT doc_id AS payload_id, {_ANY.format(t='text')} AS blocked, CASE WHEN {_ANY.format(t='text')} THEN NULL ELSE CAST(length(text) AS BIGINT) END AS chars FROM documents")
@@ -130,7 +134,7 @@ def secret_gate(spark, sf):
 
 @query("SELECT sha256(text) AS digest, any_value(CAST(length(text) AS BIGINT)) AS chars, min(doc_id) AS first_id, any_value(replace(left(text, 120), chr(10), '\\n')) AS preview FROM documents GROUP BY 1")
 def original_store(spark, sf):
-    return src.documents(spark, sf).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("chars"), "payload_id", preview(T, 120).alias("preview")).groupBy("digest").agg(F.first("chars").alias("chars"), F.min("payload_id").alias("first_id"), F.first("preview").alias("preview"))
+    return src.documents(spark, sf).select(F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("chars"), "payload_id", preview(T(), 120).alias("preview")).groupBy("digest").agg(F.first("chars").alias("chars"), F.min("payload_id").alias("first_id"), F.first("preview").alias("preview"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT sha256(text)) AS n_distinct, round(1 - count(DISTINCT sha256(text)) / count(*), 4) AS saved FROM documents")
@@ -143,7 +147,7 @@ def store_dedupe_ratio(spark, sf):
 def store_retrieve(spark, sf):
     docs = src.documents(spark, sf).withColumn("digest", F.sha2("text", 256))
     store = docs.groupBy("digest").agg(F.min(F.struct("payload_id", "text")).alias("s"))
-    return docs.join(store, "digest").select("payload_id", F.col("s.payload_id").alias("stored_id"), (T == F.col("s.text")).alias("same"))
+    return docs.join(store, "digest").select("payload_id", F.col("s.payload_id").alias("stored_id"), (T() == F.col("s.text")).alias("same"))
 
 
 @query("SELECT DISTINCT sha256(text) AS digest FROM conversations WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents)")
@@ -157,7 +161,7 @@ _LINES = "l AS (SELECT doc_id AS payload_id, ls[i] AS line, i AS pos FROM (SELEC
 
 @query(f"WITH {_LINES} SELECT payload_id, line, count(*) AS n, CAST(dense_rank() OVER (PARTITION BY payload_id ORDER BY min(pos)) - 1 AS BIGINT) AS id FROM l GROUP BY payload_id, line")
 def line_dictionary(spark, sf):
-    lines = src.documents(spark, sf).select("payload_id", F.posexplode(split_lines(T)).alias("pos", "line"))
+    lines = src.documents(spark, sf).select("payload_id", F.posexplode(split_lines(T())).alias("pos", "line"))
     counted = lines.groupBy("payload_id", "line").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     rank = F.dense_rank().over(Window.partitionBy("payload_id").orderBy("first")) - 1
     return counted.select("payload_id", "line", "n", rank.cast("long").alias("id"))
@@ -172,14 +176,14 @@ SELECT r.payload_id, left(sha256('<foldmill:pattern_hash_v1>' || chr(10) || '@di
 
 @query(_PH)
 def pattern_hash_encode(spark, sf):
-    coded = src.documents(spark, sf).where(TEXT["pattern_hash"](T)).select("payload_id", "text", di.pattern_hash(T).alias("p"))
-    return coded.where(F.col("p") != T).select("payload_id", sha16(F.col("p")).alias("sha16"))
+    coded = src.documents(spark, sf).where(TEXT["pattern_hash"](T())).select("payload_id", "text", di.pattern_hash(T()).alias("p"))
+    return coded.where(F.col("p") != T()).select("payload_id", sha16(F.col("p")).alias("sha16"))
 
 
 def _round_trip(encode, decode, kind):
     def run(spark, sf):
-        coded = src.documents(spark, sf).where(TEXT[kind](T)).select("payload_id", "text", encode(T).alias("p"))
-        return coded.select("payload_id", (decode(F.col("p")) == T).alias("same"))
+        coded = src.documents(spark, sf).where(TEXT[kind](T())).select("payload_id", "text", encode(T()).alias("p"))
+        return coded.select("payload_id", (decode(F.col("p")) == T()).alias("same"))
 
     run.__name__ = f"{kind}_roundtrip"
     return run
@@ -194,18 +198,18 @@ query(f"SELECT doc_id AS payload_id, true AS same FROM documents WHERE {_DETECT[
 s AS (SELECT l.payload_id, count(DISTINCT k.id) AS n_dict, count(*) AS n_parts, string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY l.pos) AS seq FROM l JOIN k ON l.payload_id = k.payload_id AND l.line = k.line GROUP BY 1)
 SELECT s.payload_id, seq FROM s JOIN documents d ON s.payload_id = d.doc_id WHERE {_DETECT['separator_segments']} AND n_dict <= n_parts * 0.8""")
 def separator_segments_encode(spark, sf):
-    coded = src.documents(spark, sf).where(TEXT["separator_segments"](T)).select("payload_id", "text", di.separator_segments(T).alias("p"))
-    return coded.where(F.col("p") != T).select("payload_id", F.regexp_extract("p", r"\nseq=([0-9,]*)$", 1).alias("seq"))
+    coded = src.documents(spark, sf).where(TEXT["separator_segments"](T())).select("payload_id", "text", di.separator_segments(T()).alias("p"))
+    return coded.where(F.col("p") != T()).select("payload_id", F.regexp_extract("p", r"\nseq=([0-9,]*)$", 1).alias("seq"))
 
 
 @query(f"SELECT doc_id AS payload_id, '<foldmill:sidecar_ref_v1>' || chr(10) || 'sha256=' || sha256(text) || ' chars=' || length(text) || chr(10) || 'preview=' || replace(left(text, 400), chr(10), '\\n') AS payload FROM documents WHERE length(text) >= 3000")
 def sidecar_ref_encode(spark, sf):
-    return src.documents(spark, sf).where(TEXT["sidecar_ref"](T)).select("payload_id", di.sidecar_ref(T).alias("payload"))
+    return src.documents(spark, sf).where(TEXT["sidecar_ref"](T())).select("payload_id", di.sidecar_ref(T()).alias("payload"))
 
 
 @query(f"WITH {src.LOGS_SQL} SELECT payload_id, coalesce(nullif(regexp_extract(line, '\\b(ERROR|WARN|WARNING|INFO|DEBUG|TRACE|CRITICAL)\\b', 1), ''), 'none') AS level, count(*) AS n FROM (SELECT payload_id, unnest(string_split(text, chr(10))) AS line FROM v_logs) GROUP BY 1, 2")
 def log_level_histogram(spark, sf):
-    lines = src.logs(spark, sf).select("payload_id", F.explode(split_lines(T)).alias("line"))
+    lines = src.logs(spark, sf).select("payload_id", F.explode(split_lines(T())).alias("line"))
     level = F.regexp_extract("line", an.LEVEL, 1)
     return lines.groupBy("payload_id", F.when(level == "", "none").otherwise(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -216,19 +220,19 @@ t AS (SELECT payload_id, array_to_string(list_transform(range(1, len(gaps) + 1),
 
 @query(_TPL + " SELECT payload_id, template, count(*) AS n FROM t GROUP BY 1, 2")
 def log_template_counts(spark, sf):
-    lines = src.logs(spark, sf).select("payload_id", F.explode(split_lines(T)).alias("line"))
+    lines = src.logs(spark, sf).select("payload_id", F.explode(split_lines(T())).alias("line"))
     return lines.select("payload_id", an.template(F.col("line"))[0].alias("template")).groupBy("payload_id", "template").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {src.LOGS_SQL}, e AS (SELECT payload_id, line, row_number() OVER (PARTITION BY payload_id ORDER BY pos) AS k FROM (SELECT payload_id, ls[i] AS line, i AS pos FROM (SELECT payload_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM v_logs)) WHERE regexp_matches(line, 'ERROR|CRITICAL|WARN|WARNING')) SELECT payload_id, CAST(k - 1 AS BIGINT) AS pos, line FROM e WHERE k <= 30")
 def log_error_examples(spark, sf):
-    found = F.slice(F.filter(split_lines(T), lambda x: x.rlike("ERROR|CRITICAL|WARN|WARNING")), 1, 30)
+    found = F.slice(F.filter(split_lines(T()), lambda x: x.rlike("ERROR|CRITICAL|WARN|WARNING")), 1, 30)
     return src.logs(spark, sf).select("payload_id", F.posexplode(found).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(rf"WITH {src.CI_SQL}, l AS (SELECT payload_id, unnest(string_split(text, chr(10))) AS x FROM v_ci) SELECT payload_id, count(*) AS lines, count(*) FILTER (regexp_matches(x, '\bPASSED\b|\bpassed\b')) AS passed, count(*) FILTER (contains(lower(x), 'warning')) AS warnings, count(*) FILTER (regexp_matches(x, 'FAILED|ERROR|Traceback|AssertionError|exit code|Exception')) AS failures FROM l GROUP BY 1")
 def ci_summary(spark, sf):
-    c = an.ci_counts(T)
+    c = an.ci_counts(T())
     return src.ci(spark, sf).select("payload_id", *(c[k].alias(k) for k in ("lines", "passed", "warnings", "failures")))
 
 
@@ -238,7 +242,7 @@ _CLEAN = "trim(replace(replace(replace(replace(replace(replace(replace(replace(r
 @query(f"SELECT page_id AS payload_id, {_CLEAN.format(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))} AS title, CAST(len(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1)) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '(?is)<a[^>]+href=[''\"]([^''\"]+)[''\"][^>]*>(.*?)</a>', 1)) AS BIGINT) AS links FROM pages")
 def html_outline(spark, sf):
     pages = src.table(spark, sf, "pages").select(F.col("page_id").alias("payload_id"), F.col("html").alias("text"))
-    p = an.html_parts(T)
+    p = an.html_parts(T())
     return pages.select("payload_id", p["title"].alias("title"), F.size(p["headings"]).cast("long").alias("headings"), F.size(p["links"]).cast("long").alias("links"))
 
 
@@ -263,7 +267,7 @@ def word_frequency_topk(spark, sf):
 
 @query("SELECT doc_id AS payload_id, CAST(len(regexp_extract_all(text, '\\s+|[A-Za-z0-9_./:@=-]+|[^\\w\\s]')) AS BIGINT) AS tokens FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def token_counts(spark, sf):
-    return src.documents(spark, sf).where(~T.rlike(r"[^\x00-\x7F]")).select("payload_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"))
+    return src.documents(spark, sf).where(~T().rlike(r"[^\x00-\x7F]")).select("payload_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"))
 
 
 @query("""SELECT o_custkey AS payload_id, key, count(DISTINCT value) AS n_distinct, count(DISTINCT value) = 1 AS constant, count(DISTINCT value) <= least(64, greatest(2, count(*) // 2)) AS enum FROM
