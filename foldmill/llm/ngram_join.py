@@ -308,6 +308,10 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         cols = list(zip(*out)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
+    # Buckets with the same members ask for the same comparisons: one of them stays (alike in number and two 64-bit digests).
+    alike = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
+    one = alike.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
+    members = saved(members.join(one, "token", "left_semi"), "ngram-mixed")
     before = F.sum("n").over(Window.partitionBy("token").orderBy("rank")) - F.col("n")
     chunked = members.select("token", "cid", "label", "n", F.floor(before / CHUNK).cast("int").alias("chunk"))
     last = chunked.groupBy("token").agg(F.max("chunk").alias("last"))
