@@ -278,9 +278,11 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the groups of each bucket, enough of them to merge all groups that link (a, b).
 
     A bucket is cut into chunks of about CHUNK n-grams; each pair of chunks is
-    settled apart, so memory is bounded however large the bucket. There, each
-    member outside the largest group counts its overlap with all others by
-    postings, and a merger ends the comparisons inside the merged group.
+    settled apart, so memory is bounded however large the bucket. A pair belongs
+    to the first bucket that both are in; members without such a pair are left
+    out before sets are sent, and the prefixes, which tell, are a fraction of the
+    sets. Then each member outside the largest group counts its overlap with all
+    others by postings, and a merger ends the comparisons inside the merged group.
     """
 
     def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,17 +310,47 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         cols = list(zip(*out)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
+    def ask(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members with a partner of another group that they meet here first and that the bounds allow."""
+        own = pa.Table.from_batches(list(batches))
+        cid, label, n, lone, pos, chunk = (own.column(c).to_numpy() for c in ("cid", "label", "n", "lone", "pos", "chunk"))
+        lists = own.column("before").combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        values, back = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        posts = np.split(np.repeat(np.arange(len(cid)), sizes)[np.argsort(back, kind="stable")], np.cumsum(np.bincount(back, minlength=len(values)))[:-1])
+        begin = np.r_[0, np.cumsum(sizes)]
+        _, lab, count = np.unique(label, return_inverse=True, return_counts=True)
+        apart, keep = key[1].as_py() != key[2].as_py(), np.zeros(len(cid), bool)
+        for x in np.flatnonzero(lab != count.argmax()).tolist():
+            most = np.minimum(pos[x] - lone[x], pos - lone) + np.minimum(n[x] - pos[x], n - pos)
+            ok = (lab != lab[x]) & ((100 + percent) * most.astype(np.int64) >= percent * (n[x] + n).astype(np.int64))
+            if apart:
+                ok &= chunk != chunk[x]
+            if ok.any() and sizes[x]:
+                ok[np.concatenate([posts[g] for g in back[begin[x] : begin[x + 1]].tolist()])] = False
+            if ok.any():
+                keep[x] = True
+                keep |= ok
+        at = np.flatnonzero(keep)
+        same = lambda k, kind: pa.array([key[k].as_py()] * len(at), kind)
+        cols = [same(0, pa.int64()), same(1, pa.int32()), same(2, pa.int32()), pa.array(cid[at], pa.int64()), pa.array(label[at], pa.int64()), pa.array(n[at], pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=["token", "i", "j", "cid", "label", "n"])
+
     # Buckets with the same members ask for the same comparisons: one of them stays (alike in number and two 64-bit digests).
     alike = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
     one = alike.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
     members = saved(members.join(one, "token", "left_semi"), "ngram-mixed")
     before = F.sum("n").over(Window.partitionBy("token").orderBy("rank")) - F.col("n")
-    chunked = members.select("token", "cid", "label", "n", F.floor(before / CHUNK).cast("int").alias("chunk"))
+    chunked = members.select("token", "cid", "label", "n", "pos", "lone", F.floor(before / CHUNK).cast("int").alias("chunk"))
     last = chunked.groupBy("token").agg(F.max("chunk").alias("last"))
-    pairs = F.expr("transform(sequence(0, last), c -> struct(least(c, chunk) as i, greatest(c, chunk) as j))")
-    cut = chunked.join(last, "token").select("token", "cid", "label", "n", F.explode(pairs).alias("p")).select("token", "cid", "label", "n", "p.i", "p.j")
-    cut = cut.join(sets.select("cid", "grams"), "cid")
-    return cut.groupBy("token", "i", "j").applyInArrow(settle, "a long, b long").distinct()
+    # Of each member: its buckets in the global order, so that each place knows the buckets before it.
+    places = chunked.join(last, "token").groupBy("cid").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.array_sort(F.collect_list(F.struct("pos", "token", "chunk", "last"))).alias("at"))
+    each = places.select("cid", "label", "n", "lone", F.col("at.token").alias("tokens"), F.posexplode("at").alias("k", "x"))
+    pairs = F.expr("transform(sequence(0, x.last), c -> struct(least(c, x.chunk) as i, greatest(c, x.chunk) as j))")
+    cut = each.select(F.col("x.token").alias("token"), "cid", "label", "n", "lone", F.col("x.pos").alias("pos"), F.col("x.chunk").alias("chunk"), F.slice("tokens", F.lit(1), F.col("k")).alias("before"), F.explode(pairs).alias("p"))
+    cut = cut.select("token", "p.i", "p.j", "cid", "label", "n", "lone", "pos", "chunk", "before")
+    asked = saved(cut.groupBy("token", "i", "j").applyInArrow(ask, "token long, i int, j int, cid long, label long, n int"), "ngram-asked")
+    return asked.join(sets.select("cid", "grams"), "cid").groupBy("token", "i", "j").applyInArrow(settle, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
