@@ -5,8 +5,10 @@ run of token characters with a digit is scored: the log-likelihood of its
 character pairs under a model of random strings, less that under a model of
 ordinary identifiers, by character pair. Runs that the ratio favours are spans
 of kind ``markov`` unless they overlap a base span. Both models are counts of
-character pairs in labelled samples with one added to each; only their logs,
-one for each pair of a fixed alphabet, come to the driver.
+character pairs in labelled samples; pairs seen little or never fall back on how
+often their second character occurs (counts with one added), so that a small
+sample tells digits and capitals from ordinary letters, too. Only the logs, one
+for each pair of a fixed alphabet, come to the driver.
 
 Results by case: null text counts as empty and has no spans; repeated rows give
 repeated results; offsets are code points, end exclusive, over the whole text;
@@ -73,7 +75,9 @@ def pair_logs(samples: DataFrame) -> tuple[list[float], list[float]]:
     for label in (1, 0):
         n = {(r["a"] - 1, r["b"] - 1): r["count"] for r in rows if r["label"] == label}
         totals = [sum(n.get((i, j), 0) for j in range(k)) for i in range(k)]
-        out.append([log((n.get((i, j), 0) + 1) / (totals[i] + k)) for i in range(k) for j in range(k)])
+        into = [sum(n.get((i, j), 0) for i in range(k)) + 1 for j in range(k)]
+        share = [x / sum(into) for x in into]
+        out.append([log((n.get((i, j), 0) + k * share[j]) / (totals[i] + k)) for i in range(k) for j in range(k)])
     return out[0], out[1]
 
 
