@@ -1,10 +1,14 @@
 """Secret scans by character Markov models, in DataFrame functions only.
 
 Fixed patterns give the base spans (assign, access, hex). Besides, every long
-run of token characters with a digit is scored: the log-likelihood of its
-character pairs under a model of random strings, less that under a model of
-ordinary identifiers, by character pair. Runs that the ratio favours are spans
-of kind ``markov`` unless they overlap a base span. Both models are counts of
+run of token characters with a digit is scored, outside the base spans: the
+log-likelihood of its character pairs under a model of random strings, less that
+under a model of ordinary identifiers, less a margin for each pair. Every segment
+of 20 or more characters whose sum is over 0 lies, at least in part, in a span of
+kind ``markov``, whatever stands before or behind it in the run: a segment begins
+where such a sum is first found, ends at the sum's peak, loses the start that
+lowers it, and grows to the next separator on both sides (past pieces of up to four
+characters), so that a secret's ends aren't cut off; another one begins behind it. Both models are counts of
 character pairs in labelled samples; pairs seen little or never fall back on how
 often their second character occurs (counts with one added), so that a small
 sample tells digits and capitals from ordinary letters, too. Only the logs, one
@@ -34,6 +38,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}+"
 _BLOCK = 128
+#: Character pairs of the shortest segment that is scored.
+PAIRS = 19
 
 
 _BLANK = "cast(array() as array<string>)"
@@ -93,10 +99,67 @@ def default_samples(spark: SparkSession, words: DataFrame, n: int = 4000) -> Dat
     return random.unionByName(plain)
 
 
+def pieces(found: str, base: str) -> Column:
+    """What is left of the runs outside the base spans, where it is long enough."""
+    hit = f"filter({base}, y -> y.start < x.end and x.start < y.end)"
+    begins = f"array_distinct(concat(array(x.start), {hit}.end))"
+    end = f"array_min(concat(array(x.end), filter({hit}.start, e -> e >= b)))"
+    left = f"filter(transform({begins}, b -> struct(b as start, {end} as end)), z -> z.end - z.start > {PAIRS} and not exists({base}, y -> y.start <= z.start and z.start < y.end))"
+    cut = f"transform({left}, z -> struct(z.start as start, z.end as end, substring(x.s, z.start - x.start + 1, z.end - z.start) as s))"
+    whole = "array(struct(x.start as start, x.end as end, x.s as s))"
+    return F.expr(f"flatten(transform({found}, x -> if(exists({base}, y -> y.start < x.end and x.start < y.end), {cut}, {whole})))")
+
+
+def segments(v: str) -> str:
+    """SQL: the segments of the pairs' values ``v`` as structs b, o, e (first pair, pair at which the sum was first over 0, last pair).
+
+    State: w, sum of the last PAIRS values; h, m, the open segment's peak and its
+    sum so far; n, b, the best segment behind the last peak that is long enough.
+    """
+    none = "double(-1e300)"
+    start = f"named_struct('w', double(0), 'h', double(0), 'm', {none}, 'n', {none}, 'b', 0, 'e', -1, 'out', cast(array() as array<struct<b: int, o: int, e: int>>))"
+    # First what depends on the state alone, as a struct x, then the new state.
+    step = f"named_struct('w', a.w + get({v}, j) - if(j >= {PAIRS}, get({v}, j - {PAIRS}), 0), 'm', a.m + get({v}, j), 'n', a.n + get({v}, j))"
+    fresh = f"j - {PAIRS - 1} > a.e and x.w > x.n"
+    n, b = f"if({fresh}, x.w, x.n)", f"if({fresh}, j - {PAIRS - 1}, a.b)"
+    # The last segment's end is set when it is closed (or at the end), so that a long one isn't rewritten at each pair.
+    longer = f"named_struct('w', x.w, 'h', x.m, 'm', x.m, 'n', {none}, 'b', 0, 'e', j, 'out', a.out)"
+    closed = "if(size(a.out) = 0, a.out, concat(slice(a.out, 1, size(a.out) - 1), array(named_struct('b', element_at(a.out, -1).b, 'o', element_at(a.out, -1).o, 'e', a.e))))"
+    opened = f"named_struct('w', x.w, 'h', {n}, 'm', {n}, 'n', {none}, 'b', 0, 'e', j, 'out', array_append({closed}, named_struct('b', {b}, 'o', j, 'e', j)))"
+    same = f"named_struct('w', x.w, 'h', a.h, 'm', x.m, 'n', {n}, 'b', {b}, 'e', a.e, 'out', a.out)"
+    new = f"get(transform(array({step}), x -> if(x.m > a.h, {longer}, if({n} > 0, {opened}, {same}))), 0)"
+    return f"aggregate(sequence(0, size({v}) - 1), {start}, (a, j) -> {new}, a -> {closed})"
+
+
+def trimmed(v: str, k: str) -> str:
+    """SQL: the first pair of segment ``k`` without the start that lowers its sum; no segment found earlier ends in that start."""
+    low = f"if(a.s + get({v}, j) < a.low, named_struct('s', a.s + get({v}, j), 'low', a.s + get({v}, j), 'b', j + 1), named_struct('s', a.s + get({v}, j), 'low', a.low, 'b', a.b))"
+    return f"aggregate(slice(sequence({k}.b, {k}.o), 1, greatest(0, least({k}.o, {k}.e - {PAIRS - 1}) - {k}.b)), named_struct('s', double(0), 'low', double(0), 'b', {k}.b), (a, j) -> {low}, a -> a.b)"
+
+
+def favoured(found: str, ratio: str, margin: float) -> Column:
+    """Spans of the segments that the ratio favours in each of ``found`` (start, s)."""
+    k = len(ALPHABET)
+    index = f"transform(split(x.s, ''), c -> instr('{ALPHABET}', c) - 1)"
+    values = f"transform(sequence(0, size(i) - 2), j -> get({ratio}, get(i, j) * {k} + get(i, j + 1)) - double({margin!r}))"
+    # Segments as characters b to e (exclusive), grown to the separators and over short pieces next to them (base64 has separators in it);
+    # a "=" before is none of the segment's, padding behind is.
+    short = "[A-Za-z0-9]{0,4}+(?![A-Za-z0-9])"
+    word = lambda c: f"if({c} rlike '[A-Za-z0-9]', '^[A-Za-z0-9]*+', '^{short}')"
+    back = f"length(regexp_extract(reverse(substring(x.s, 1, q.b)), concat({word('substring(x.s, q.b + 1, 1)')}, '(?:[+/_-]{short})*+'), 0))"
+    on = f"length(regexp_extract(substring(x.s, q.e + 1), concat({word('substring(x.s, q.e, 1)')}, '(?:[+/_-]{short})*+(?:={{1,2}}$)?'), 0))"
+    grown = f"named_struct('b', if(substring(x.s, q.b + 1, 1) = '=', q.b + 1, q.b - {back}), 'e', q.e + {on})"
+    cut = f"transform({segments('v')}, g -> named_struct('b', {trimmed('v', 'g')}, 'e', g.e + 2))"
+    merged = "aggregate(g, cast(array() as array<struct<b: int, e: int>>), (a, y) -> if(size(a) > 0 and y.b < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('b', element_at(a, -1).b, 'e', greatest(y.e, element_at(a, -1).e)))), array_append(a, y)))"
+    let = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
+    spans = f"transform({merged}, y -> named_struct('start', x.start + y.b, 'end', x.start + y.e, 'kind', 'markov', 's', substring(x.s, y.b + 1, y.e - y.b)))"
+    whole = let(index, "i", let(values, "v", let(f"transform({cut}, q -> {grown})", "g", spans)))
+    return F.expr(f"flatten(transform({found}, x -> {whole}))")
+
+
 def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = 0.35) -> DataFrame:
-    """doc_id and spans (array of start, end, kind, s, in order) for every row of ``docs``; ``margin`` is the log-likelihood ratio a character pair must give on average."""
+    """doc_id and spans (array of start, end, kind, s, in order) for every row of ``docs``; ``margin`` is the log-likelihood ratio a character pair of a segment must give on average."""
     one, zero = pair_logs(samples)
-    k = len(ALPHABET)
     ratio = F.array(*(F.lit(float(a - b)) for a, b in zip(one, zero)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", text.alias("t"))
@@ -109,12 +172,9 @@ def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = 0.35) -> D
     value = lambda x: F.regexp_extract(x["s"], "^" + ASSIGN, 2)
     out = out.withColumn("p_assign", F.filter("p_assign", lambda x: F.length(value(x)) >= 6))
     out = out.withColumn("base", F.concat("p_assign", "p_access", "p_hex"))
-    clear = F.filter("p_markov", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    index = lambda s, i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))
     # The table of ratios rides along as a column once, not once for each lookup.
-    out = out.withColumn("p_markov", clear).withColumn("ratio", F.when(F.size(clear) > 0, ratio))
-    score = lambda s: F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at("ratio", (index(s, i) - 1) * k + index(s, i + 1)))
-    out = out.withColumn("p_markov", F.when(F.size("p_markov") > 0, F.filter("p_markov", lambda x: score(x["s"]) > margin * (F.length(x["s"]) - 1))).otherwise(F.col("p_markov")))
+    out = out.withColumn("p_markov", pieces("p_markov", "base"))
+    out = out.withColumn("ratio", F.when(F.size("p_markov") > 0, ratio)).withColumn("p_markov", favoured("p_markov", "ratio", margin))
     return out.select("doc_id", _sorted(F.col("base")).alias("base"), _sorted(F.concat("base", "p_markov")).alias("spans"))
 
 
