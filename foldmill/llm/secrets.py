@@ -1,14 +1,15 @@
 """Secret scans by character Markov models, in DataFrame functions only.
 
 Fixed patterns give the base spans (assign, access, hex). Besides, every long
-run of token characters with a digit is scored, outside the base spans: the
+run of token characters, with digits or not, is scored outside the base spans: the
 log-likelihood of its character pairs under a model of random strings, less that
 under a model of ordinary identifiers, less a margin for each pair. Every segment
 of 20 or more characters whose sum is over 0 lies, at least in part, in a span of
 kind ``markov``, whatever stands before or behind it in the run: a segment begins
 where such a sum is first found, ends at the sum's peak, loses the start that
 lowers it, and grows to the next separator on both sides (past pieces of up to four
-characters), so that a secret's ends aren't cut off; another one begins behind it. Both models are counts of
+characters), so that a secret's ends aren't cut off; another one begins behind it.
+Repetitions of very few characters (separator lines) are none. Both models are counts of
 character pairs in labelled samples; pairs seen little or never fall back on how
 often their second character occurs (counts with one added), so that a small
 sample tells digits and capitals from ordinary letters, too. Only the logs, one
@@ -36,10 +37,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_=-]{20,}+"
 _BLOCK = 128
 #: Character pairs of the shortest segment that is scored.
 PAIRS = 19
+#: Different characters of a span, at least: separator lines have fewer, a random string of 20 digits has fewer once in 500,000.
+DISTINCT = 5
 
 
 _BLANK = "cast(array() as array<string>)"
@@ -153,6 +156,7 @@ def favoured(found: str, ratio: str, margin: float) -> Column:
     merged = "aggregate(g, cast(array() as array<struct<b: int, e: int>>), (a, y) -> if(size(a) > 0 and y.b < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('b', element_at(a, -1).b, 'e', greatest(y.e, element_at(a, -1).e)))), array_append(a, y)))"
     let = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
     spans = f"transform({merged}, y -> named_struct('start', x.start + y.b, 'end', x.start + y.e, 'kind', 'markov', 's', substring(x.s, y.b + 1, y.e - y.b)))"
+    spans = f"filter({spans}, y -> size(array_distinct(split(y.s, ''))) >= {DISTINCT})"
     whole = let(index, "i", let(values, "v", let(f"transform({cut}, q -> {grown})", "g", spans)))
     return F.expr(f"flatten(transform({found}, x -> {whole}))")
 

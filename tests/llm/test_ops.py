@@ -109,6 +109,17 @@ def test_secrets_inside_longer_runs(spark):
     assert got[90] == []
 
 
+def test_secrets_without_digits(spark):
+    r = random.Random(6)
+    hidden = ["".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz") for _ in range(n)) for n in (20, 24, 32, 40)]
+    plain = ["sharedDocumentsCustomerReportsNumber", "client_authorization_value_documents", "/documents/shared/customer/reports", "-" * 40, "=" * 40, "====/----/____/===="]
+    names = spark.createDataFrame([("the ordinary words and session credential client authorization value documents shared customer reports number",)] * 3, "text string")
+    rows = [(i, f"say {x} now", "") for i, x in enumerate(hidden)] + [(50 + i, f"say {x} now", "") for i, x in enumerate(plain)]
+    got = {x["doc_id"]: [s["s"] for s in x["spans"]] for x in secrets.scan_secrets(docs(spark, rows), secrets.default_samples(spark, names, 500)).collect()}
+    assert [got[i] for i in range(len(hidden))] == [[x] for x in hidden]
+    assert all(got[50 + i] == [] for i in range(len(plain))), got
+
+
 def brute_components(rows):
     sets = []
     for _, t, _ in rows:
