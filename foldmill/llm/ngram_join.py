@@ -19,6 +19,9 @@ equal sets are one class and are handled once.
    So each pair that shares a prefix was compared or lies in one group already:
    no link between different texts is lost, and a group of k near copies makes
    far fewer than k * k pairs, none of which becomes a row unless it links.
+5. Where links are to be counted, every pair that shares a prefix is compared in
+   its first common bucket, pairs inside a group, too, chunk by chunk as in 4;
+   only sums for each class leave a chunk. This costs the square of a group.
 
 Results by case: null and wordless texts have 0 shingles and link with nothing;
 with fewer than ``k`` words the whole sequence is one shingle; repeated rows and
@@ -274,9 +277,11 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return now.join(mixed, "token", "left_semi")
 
 
-def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _settled(members: DataFrame, sets: DataFrame, percent: int, rows: DataFrame | None = None) -> DataFrame:
     """Links between the groups of each bucket, enough of them to merge all groups that link (a, b).
 
+    With ``rows`` (cid, rows), and each member a group of its own: cid and how many rows of other classes link with it (links), instead.
+
     A bucket is cut into chunks of about CHUNK n-grams; each pair of chunks is
     settled apart, so memory is bounded however large the bucket. A pair belongs
     to the first bucket that both are in; members without such a pair are left
@@ -285,6 +290,8 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     others by postings, and a merger ends the comparisons inside the merged group.
     """
 
+    every = rows is not None
+
     def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pa.Table.from_batches(list(batches))
         cid, label, n = (own.column(c).to_numpy() for c in ("cid", "label", "n"))
@@ -310,6 +317,33 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         cols = list(zip(*out)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
+    def counted(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each member: the rows of the members that it links with and meets here first."""
+        own = pa.Table.from_batches(list(batches))
+        cid, n, w, chunk = (own.column(c).to_numpy() for c in ("cid", "n", "rows", "chunk"))
+        posts, back, begin = postings(own.column("grams"))
+        met, past, start = postings(own.column("before"))
+        apart, links = key[1].as_py() != key[2].as_py(), np.zeros(len(cid), np.int64)
+        for x in range(len(cid)):
+            common = np.bincount(np.concatenate([posts[g] for g in back[begin[x] : begin[x + 1]].tolist()]), minlength=len(cid))
+            ok = 100 * common >= percent * (n[x] + n - common)
+            ok[x] = False
+            if apart:
+                ok &= chunk != chunk[x]
+            if ok.any() and start[x] < start[x + 1]:
+                ok[np.concatenate([met[g] for g in past[start[x] : start[x + 1]].tolist()])] = False
+            links[x] = w[ok].sum()
+        at = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[at], pa.int64()), pa.array(links[at], pa.int64())], names=["cid", "links"])
+
+    def postings(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of lists: the rows of each value, each item's value, and where each row's items begin."""
+        lists = column.combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        values, back = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        posts = np.split(np.repeat(np.arange(len(sizes)), sizes)[np.argsort(back, kind="stable")], np.cumsum(np.bincount(back, minlength=len(values)))[:-1])
+        return posts, back, np.r_[0, np.cumsum(sizes)]
+
     def ask(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members with a partner of another group that they meet here first and that the bounds allow."""
         own = pa.Table.from_batches(list(batches))
@@ -321,7 +355,9 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         begin = np.r_[0, np.cumsum(sizes)]
         _, lab, count = np.unique(label, return_inverse=True, return_counts=True)
         apart, keep = key[1].as_py() != key[2].as_py(), np.zeros(len(cid), bool)
-        for x in np.flatnonzero(lab != count.argmax()).tolist():
+        for x in np.flatnonzero((lab != count.argmax()) | every).tolist():
+            if every and keep[x]:  # who isn't kept yet will ask for itself
+                continue
             most = np.minimum(pos[x] - lone[x], pos - lone) + np.minimum(n[x] - pos[x], n - pos)
             ok = (lab != lab[x]) & ((100 + percent) * most.astype(np.int64) >= percent * (n[x] + n).astype(np.int64))
             if apart:
@@ -334,7 +370,11 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at = np.flatnonzero(keep)
         same = lambda k, kind: pa.array([key[k].as_py()] * len(at), kind)
         cols = [same(0, pa.int64()), same(1, pa.int32()), same(2, pa.int32()), pa.array(cid[at], pa.int64()), pa.array(label[at], pa.int64()), pa.array(n[at], pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, names=["token", "i", "j", "cid", "label", "n"])
+        names = ["token", "i", "j", "cid", "label", "n"]
+        if every:
+            cols += [pa.array(chunk[at], pa.int32()), own.column("before").combine_chunks().take(pa.array(at))]
+            names += ["chunk", "before"]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
     # Buckets with the same members ask for the same comparisons: one of them stays (alike in number and two 64-bit digests).
     alike = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
@@ -349,12 +389,16 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = F.expr("transform(sequence(0, x.last), c -> struct(least(c, x.chunk) as i, greatest(c, x.chunk) as j))")
     cut = each.select(F.col("x.token").alias("token"), "cid", "label", "n", "lone", F.col("x.pos").alias("pos"), F.col("x.chunk").alias("chunk"), F.slice("tokens", F.lit(1), F.col("k")).alias("before"), F.explode(pairs).alias("p"))
     cut = cut.select("token", "p.i", "p.j", "cid", "label", "n", "lone", "pos", "chunk", "before")
-    asked = saved(cut.groupBy("token", "i", "j").applyInArrow(ask, "token long, i int, j int, cid long, label long, n int"), "ngram-asked")
+    kept = "token long, i int, j int, cid long, label long, n int" + (", chunk int, before array<long>" if every else "")
+    asked = saved(cut.groupBy("token", "i", "j").applyInArrow(ask, kept), "ngram-asked")
+    if every:
+        met = asked.join(sets.select("cid", "grams"), "cid").join(rows, "cid").groupBy("token", "i", "j").applyInArrow(counted, "cid long, links long")
+        return met.groupBy("cid").agg(F.sum("links").alias("links"))
     return asked.join(sets.select("cid", "grams"), "cid").groupBy("token", "i", "j").applyInArrow(settle, "a long, b long").distinct()
 
 
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of ``docs``: rows link at a Jaccard similarity of ``percent`` or more. n_links counts the verified links of the row's class (those that the groups needed)."""
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``: rows link at a Jaccard similarity of ``percent`` or more. With ``links`` also n_links, the number of other rows that the row links with (equal ones are counted, too)."""
     spark = docs.sparkSession
     rows = _classes(docs, k)
     sets = _sets(docs, _hopeful(docs, k, percent), k)
@@ -392,15 +436,23 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = saved(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "ngram-first")
     kind = docs.schema["doc_id"].dataType.simpleString()
     if labels is None:
-        grouped = first.limit(0).select("fp", F.lit(None).cast(kind).alias("group"), F.lit(None).cast("long").alias("links"))
+        grouped = first.limit(0).select("fp", F.lit(None).cast(kind).alias("group"))
     else:
         named = labels.join(sets.select(F.col("cid").alias("node"), "fp"), "node").join(first, "fp")
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
         least = named.groupBy("label").agg(F.min("first").alias("group"))
-        grouped = saved(named.join(least, "label").join(ends, "node").select("fp", "group", "links"), "ngram-groups")
+        grouped = saved(named.join(least, "label").select("fp", "group"), "ngram-groups")
     out = rows.join(first, "fp", "left").join(grouped, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "first", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    cols = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "first", "doc_id").alias("component_id")]
+    if links:
+        release(spark)
+        same = rows.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("rows"))
+        heavy = saved(sets.select("cid", "fp").join(same, "fp"), "ngram-rows")
+        found = saved(_settled(_mixed(members, None), sets, percent, heavy.select("cid", "rows")), "ngram-counts")
+        others = heavy.join(found, "cid").select("fp", "links")
+        out = out.join(same, "fp", "left").join(others, "fp", "left")
+        cols.append((F.coalesce("links", F.lit(0).cast("long")) + F.coalesce(F.col("rows") - 1, F.lit(0).cast("long"))).alias("n_links"))
+    return out.select(*cols)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents")).drop("n_links")
+    return link_documents(table(spark, sf_dir, "documents"), links=True)

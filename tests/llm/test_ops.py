@@ -155,6 +155,31 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, chunk):
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("chunk", [400_000, 700])
+def test_ngram_join_counts_every_link(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    r = random.Random(8)
+    rows, n = list(ODD), 100
+    for g in range(3):
+        base = words(120, g)
+        for _ in range(20):
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = f"edit{r.randint(0, 10**6)}"
+            rows.append((n, " ".join(w), ""))
+            n += 1
+    rows += [(n, rows[20][1].upper(), ""), (n + 1, rows[20][1], ""), (n + 2, " ".join(words(60, 50)), "")]
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    want = Counter((i, sum(100 * len(s & o) >= 80 * len(s | o) for b, o in enumerate(sets) if a != b and s and o)) for a, ((i, _, _), s) in enumerate(zip(rows, sets)))
+    assert any(k[1] not in (0, 19) and k[1] > 2 for k in want)
+    got = ngram_join.link_documents(docs(spark, rows), links=True).collect()
+    assert Counter((x["doc_id"], x["n_links"]) for x in got) == want
+
+
 def test_ngram_join_without_anything_to_link(spark):
     assert ngram_join.link_documents(docs(spark, [])).count() == 0
     assert [(r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs(spark, [(1, None, "")])).collect()] == [(0, 1)]
