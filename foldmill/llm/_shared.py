@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Seconds-old tables are removed when the driver ends; paths and the session that wrote them.
-_written: list[tuple[SparkSession, str]] = []
+#: Tables written so far and not removed yet: path and the session that wrote it.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode may it be unset; then it is a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foldmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,17 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/foldmill/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and a lost executor costs no more than a reread."""
+def saved(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here, and a lost executor costs no more than a reread.
+
+    Tables of ``after`` (results of this function) aren't needed any more once ``df`` is written, and are removed.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    for old in after:
+        remove(old.saved_at)
+    out = spark.read.schema(schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def remove(path: str) -> None:
+    """Deletes a table or folder that this module named."""
+    spark = _written.pop(path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -53,15 +71,37 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _remove() -> None:
-    for spark, path in _written:
+    """What results may still be read from stays until the driver ends."""
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(path)
         except Exception:  # the session may be gone by now
             return
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row a key and, as ``size``, the key's number of rows.
+
+    Keys with more than a share 1 / ``most`` of all rows, fewer than ``most`` by
+    count, are broadcast, so that no task gets all rows of a hot key; the others are dealt by key.
+    """
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col(size) * most > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(size) * most <= total), key)
+    return rest.unionByName(rows.join(hot, key))
+
+
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with underscores before it until no column of ``df`` has that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class WordHashes(dict):
     """64-bit xxh3 of words (bytes), kept for the words seen lately; the memo is emptied when it is full, so memory is bounded."""
 

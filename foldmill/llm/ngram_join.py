@@ -3,31 +3,34 @@
 A document is the set of its five-word shingles (64-bit hashes). Documents with
 equal sets are one class and are handled once.
 
-1. The global order of n-grams is cut into fragments (ranges of hashes). Every
-   block of documents sends a fragment each n-gram of its own once; the fragment
-   finds those that other blocks have too, and the partial counts of the
-   fragments are summed per document. A document can reach similarity t only if
-   a share t of its n-grams occurs in other classes; the rest is done with.
+1. The global order of n-grams is cut into fragments (ranges of hashes), whose
+   number grows with the input. Every block of documents sends a fragment each
+   n-gram of its own once; the fragment finds those that other blocks have too,
+   and the partial counts of the fragments are summed per document. A document
+   can reach similarity t only if a share t of its n-grams occurs in other
+   classes; the rest is done with.
 2. For what is left, n-grams are ordered by exact frequency, rare ones first,
    and the prefix filter makes buckets of classes that share a prefix n-gram.
-3. In each bucket, members are ranked (most shared prefix first). In two rounds
-   the first members are pivots, paired with all later members of other groups
-   that length and positional bounds allow; a pair's overlap is counted fragment
-   by fragment and summed, and pairs that link merge groups.
-4. Buckets that still hold several groups are settled, chunk by chunk of bounded
-   size: members outside the largest group are compared with all other groups.
-   So each pair that shares a prefix was compared or lies in one group already:
-   no link between different texts is lost, and a group of k near copies makes
-   far fewer than k * k pairs, none of which becomes a row unless it links.
-5. Where links are to be counted, every pair that shares a prefix is compared in
-   its first common bucket, pairs inside a group, too, chunk by chunk as in 4;
-   only sums for each class leave a chunk. This costs the square of a group.
+   Buckets are cut into chunks of bounded size; each pair of chunks is a group of
+   its own, and each pair of classes is compared in its first common bucket.
+3. In a group the n-grams are ordered by frequency and cut into fragments. Each
+   fragment counts the overlaps of all pairs apart (rare n-grams through their
+   places, frequent ones as a product of two matrices), and the counts are summed
+   per pair. Pairs never become rows: sums of links for each class leave a group,
+   and a spanning forest of the pairs that link.
+4. Where links needn't be counted, a few pivots of each bucket are paired with its
+   other members first, counted fragment by fragment and summed, and merge
+   groups; after that, members of a bucket's largest group are compared with those
+   outside it only. So a group of k near copies costs far fewer than k * k pairs.
+
+N-grams that hold a large share of all places are joined by broadcast of their
+counts (fewer than 1,000 n-grams by definition), never dealt to one task.
 
 Results by case: null and wordless texts have 0 shingles and link with nothing;
 with fewer than ``k`` words the whole sequence is one shingle; repeated rows and
 equal texts share a class; ids are compared as they are, a null id is never the
 smallest; texts are read whole, and a set is held as one row, cut into fragments
-only to be compared. Other columns of the input are ignored.
+only to be compared; an empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -41,17 +44,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldmill.llm._shared import WordHashes, as_bytes, conf_int, release, saved, shingles, table
+from foldmill.llm._shared import WordHashes, as_bytes, conf_int, release, saved, shingles, spread_join, table
 from foldmill.llm.decontaminate import BLOOM_BITS, Bloom
 
 BLOCK_NGRAMS = 2_000_000
 BLOCK_DOCS = 60_000
 #: Fragments that a pair's overlap is counted in.
 PARTS = 4
-#: Ranks of the members that are pivots, round by round, before what is left of a bucket is settled.
-PIVOTS = [(1, 1), (2, 3)]
-#: N-grams of a chunk of a bucket.
-CHUNK = 400_000
+#: Pivots of a bucket, round by round, before what is left of it is settled.
+PIVOTS = [1, 2]
+#: N-grams of a chunk of a bucket, and its members.
+CHUNK, MEMBERS = 400_000, 512
+#: Bits of a fragment's number: so few at least, and so many at most (a fragment of 100 TB of text holds some million n-grams then).
+FRAGMENT_BITS = (4, 22)
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
@@ -83,7 +88,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 def _hopeful(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """fp, n of the classes of which a share of ``percent`` of the n-grams may occur in other classes (never too few)."""
     parts = docs.rdd.getNumPartitions()
-    bits = int(np.clip(np.ceil(np.log2(max(1, parts) * 4)), 4, 14))
+    bits = int(np.clip(np.ceil(np.log2(max(1, parts) * 4)), *FRAGMENT_BITS))
 
     def blocks(batches):
         """Rows (fragment, block, names, data): a block's distinct n-grams as 5 bytes each with their document's ordinal; under fragment -1-x, the block's documents."""
@@ -107,14 +112,13 @@ def _hopeful(docs: DataFrame, k: int, percent: int) -> DataFrame:
             head = np.concatenate([sizes, shared]).tobytes() + b"".join(fingerprint(s) for s in sets)
             rows = [(-1 - block % (1 << bits), block, len(sets), head, b"")]
             g, o, m = g[first], o[first], many[first]
-            edge = np.searchsorted(g >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+            fragment = (g >> np.uint64(64 - bits)).astype(np.int64)
+            edge = np.r_[np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]]), len(g)]
             low = (g & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
             o = np.where(m, np.uint16(0xFFFF), o)
-            for f in range(1 << bits):
-                a, b = edge[f], edge[f + 1]
-                if a < b:
-                    by = np.argsort(o[a:b], kind="stable")
-                    rows.append((f, block, int(b - a), low[a:b][by].tobytes(), o[a:b][by].tobytes()))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                by = np.argsort(o[a:b], kind="stable")
+                rows.append((int(fragment[a]), block, b - a, low[a:b][by].tobytes(), o[a:b][by].tobytes()))
             sets, total = [], 0
             for i in range(0, len(rows), 256):
                 cols = list(zip(*rows[i : i + 256]))
@@ -230,10 +234,13 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """token, cid, n, pos, lone (n-grams no other class has): places of shared n-grams in the prefix of the classes that can still reach the threshold; pos counts in the global order, rare first."""
     need = F.ceil(F.col("n") * percent / 100)
     grams = sets.select("cid", "n", F.explode("grams").alias("token"))
-    shared = grams.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
+    counts = saved(grams.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-counts")
+    shared = spread_join(grams, counts, "token", "c")
     ranked = shared.select("cid", "n", "token", F.row_number().over(Window.partitionBy("cid").orderBy("c", "token")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("cid")).alias("m"))
     ranked = ranked.where(F.col("m") >= need).select("token", "cid", "n", (F.col("n") - F.col("m") + F.col("r") - 1).cast("int").alias("pos"), (F.col("n") - F.col("m")).cast("int").alias("lone"))
-    return saved(ranked.where(F.col("pos") <= F.col("n") - need), "ngram-prefixes")
+    prefixes = saved(ranked.where(F.col("pos") <= F.col("n") - need), "ngram-prefixes", (counts,))
+    sizes = saved(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ngram-sizes")
+    return saved(spread_join(prefixes, sizes, "token", "size").drop("size"), "ngram-members", (prefixes, sizes))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,185 +280,204 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     now = members.withColumn("label", F.col("cid"))
     if labels is not None:
         now = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = now.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token")
-    return now.join(mixed, "token", "left_semi")
+    now = saved(now, "ngram-labelled")
+    mixed = now.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 != l1").select("token", "size")
+    mixed = saved(mixed, "ngram-mixed-tokens")
+    return saved(spread_join(now, mixed, "token", "size").drop("size"), "ngram-mixed", (now, mixed))
+
+
+def overlaps(lists: pa.ListArray, wide: int = 4096, rare: int = 24) -> np.ndarray:
+    """How many values each pair of lists (sets) has in common. Values are ordered by frequency and cut into fragments; partial counts are summed per pair."""
+    m = len(lists)
+    total = np.zeros((m, m))
+    values, back, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), np.asarray(lists.value_lengths()))
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(values), np.int64)
+    place[order] = np.arange(len(values))
+    code, times = place[back], count[back]
+    few = (times > 1) & (times <= rare)
+    if few.any():
+        by = np.lexsort((owner[few], code[few]))
+        c, o, cells = code[few][by], owner[few][by], np.zeros(m * m, np.int64)
+        for d in range(1, rare):  # places d apart that hold the same value
+            same = np.flatnonzero(c[d:] == c[:-d])
+            if not len(same):
+                break
+            cells += np.bincount(o[same] * m + o[same + d], minlength=m * m)
+        total += cells.reshape(m, m) + cells.reshape(m, m).T
+    many = np.flatnonzero(times > rare)
+    c, o = code[many], owner[many]
+    for begin in range(0, int((count > rare).sum()), wide):
+        own = (c >= begin) & (c < begin + wide)
+        part = np.zeros((m, wide), np.float32)
+        part[o[own], c[own] - begin] = 1
+        total += part @ part.T  # exact: whole numbers of at most ``wide``
+    np.fill_diagonal(total, 0)
+    return total
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that keep all that ``linked`` (symmetric) connects."""
+    left, out = linked.any(1), []
+    while left.any():
+        todo = [int(left.argmax())]
+        left[todo[0]] = False
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(linked[x] & left)
+            left[found] = False
+            out += [(x, y) for y in found.tolist()]
+            todo += found.tolist()
+    return out
 
 
 def _settled(members: DataFrame, sets: DataFrame, percent: int, rows: DataFrame | None = None) -> DataFrame:
-    """Links between the groups of each bucket, enough of them to merge all groups that link (a, b).
+    """a, b, links: pairs that link, enough of them to merge all groups of a bucket that link (links null).
 
-    With ``rows`` (cid, rows), and each member a group of its own: cid and how many rows of other classes link with it (links), instead.
+    With ``rows`` (cid, rows), and each member a group of its own, also classes
+    (a) and how many rows of other classes link with them (links; b null).
 
-    A bucket is cut into chunks of about CHUNK n-grams; each pair of chunks is
-    settled apart, so memory is bounded however large the bucket. A pair belongs
-    to the first bucket that both are in; members without such a pair are left
-    out before sets are sent, and the prefixes, which tell, are a fraction of the
-    sets. Then each member outside the largest group counts its overlap with all
-    others by postings, and a merger ends the comparisons inside the merged group.
+    A bucket is cut into chunks of about CHUNK n-grams and MEMBERS members; each
+    pair of chunks is settled apart, so memory is bounded however large the
+    bucket. A pair belongs to the first bucket that both are in; members without
+    such a pair are left out before sets are sent, and the prefixes, which tell,
+    are a fraction of the sets. A bucket's largest group has chunks of its own,
+    which aren't paired with one another.
     """
-
     every = rows is not None
 
-    def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.Table.from_batches(list(batches))
-        cid, label, n = (own.column(c).to_numpy() for c in ("cid", "label", "n"))
-        lists = own.column("grams").combine_chunks()
-        grams, sizes = lists.flatten().to_numpy(), np.asarray(lists.value_lengths())
-        owner = np.repeat(np.arange(len(cid)), sizes)
-        values, back = np.unique(grams, return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        posts = np.split(owner[order], np.cumsum(np.bincount(back, minlength=len(values)))[:-1])
-        begin = np.r_[0, np.cumsum(sizes)]
-        names, lab, count = np.unique(label, return_inverse=True, return_counts=True)
-        out = []
-        for x in np.flatnonzero(lab != count.argmax()).tolist():
-            if (lab == lab[x]).all():
-                break
-            common = np.bincount(np.concatenate([posts[g] for g in back[begin[x] : begin[x + 1]].tolist()]), minlength=len(cid))
-            ok = (100 * common >= percent * (n[x] + n - common)) & (lab != lab[x])
-            while ok.any():
-                y = int(ok.argmax())
-                out.append((int(cid[x]), int(cid[y])))
-                lab[lab == lab[y]] = lab[x]
-                ok &= lab != lab[x]
-        cols = list(zip(*out)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
-
-    def counted(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each member: the rows of the members that it links with and meets here first."""
-        own = pa.Table.from_batches(list(batches))
-        cid, n, w, chunk = (own.column(c).to_numpy() for c in ("cid", "n", "rows", "chunk"))
-        posts, back, begin = postings(own.column("grams"))
-        met, past, start = postings(own.column("before"))
-        apart, links = key[1].as_py() != key[2].as_py(), np.zeros(len(cid), np.int64)
-        for x in range(len(cid)):
-            common = np.bincount(np.concatenate([posts[g] for g in back[begin[x] : begin[x + 1]].tolist()]), minlength=len(cid))
-            ok = 100 * common >= percent * (n[x] + n - common)
-            ok[x] = False
-            if apart:
-                ok &= chunk != chunk[x]
-            if ok.any() and start[x] < start[x + 1]:
-                ok[np.concatenate([met[g] for g in past[start[x] : start[x + 1]].tolist()])] = False
-            links[x] = w[ok].sum()
-        at = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(cid[at], pa.int64()), pa.array(links[at], pa.int64())], names=["cid", "links"])
-
-    def postings(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Of lists: the rows of each value, each item's value, and where each row's items begin."""
-        lists = column.combine_chunks()
-        sizes = np.asarray(lists.value_lengths())
-        values, back = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        posts = np.split(np.repeat(np.arange(len(sizes)), sizes)[np.argsort(back, kind="stable")], np.cumsum(np.bincount(back, minlength=len(values)))[:-1])
-        return posts, back, np.r_[0, np.cumsum(sizes)]
+    def first_met(before: pa.ListArray) -> np.ndarray:
+        """Pairs that an earlier bucket has, too."""
+        return overlaps(before) > 0
 
     def ask(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members with a partner of another group that they meet here first and that the bounds allow."""
         own = pa.Table.from_batches(list(batches))
-        cid, label, n, lone, pos, chunk = (own.column(c).to_numpy() for c in ("cid", "label", "n", "lone", "pos", "chunk"))
-        lists = own.column("before").combine_chunks()
-        sizes = np.asarray(lists.value_lengths())
-        values, back = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        posts = np.split(np.repeat(np.arange(len(cid)), sizes)[np.argsort(back, kind="stable")], np.cumsum(np.bincount(back, minlength=len(values)))[:-1])
-        begin = np.r_[0, np.cumsum(sizes)]
-        _, lab, count = np.unique(label, return_inverse=True, return_counts=True)
-        apart, keep = key[1].as_py() != key[2].as_py(), np.zeros(len(cid), bool)
-        for x in np.flatnonzero((lab != count.argmax()) | every).tolist():
-            if every and keep[x]:  # who isn't kept yet will ask for itself
-                continue
-            most = np.minimum(pos[x] - lone[x], pos - lone) + np.minimum(n[x] - pos[x], n - pos)
-            ok = (lab != lab[x]) & ((100 + percent) * most.astype(np.int64) >= percent * (n[x] + n).astype(np.int64))
-            if apart:
-                ok &= chunk != chunk[x]
-            if ok.any() and sizes[x]:
-                ok[np.concatenate([posts[g] for g in back[begin[x] : begin[x + 1]].tolist()])] = False
-            if ok.any():
-                keep[x] = True
-                keep |= ok
-        at = np.flatnonzero(keep)
-        same = lambda k, kind: pa.array([key[k].as_py()] * len(at), kind)
-        cols = [same(0, pa.int64()), same(1, pa.int32()), same(2, pa.int32()), pa.array(cid[at], pa.int64()), pa.array(label[at], pa.int64()), pa.array(n[at], pa.int32())]
-        names = ["token", "i", "j", "cid", "label", "n"]
+        label, n, lone, pos, chunk = (own.column(c).to_numpy().astype(np.int64) for c in ("label", "n", "lone", "pos", "chunk"))
+        # Before the place of a common n-gram only shared ones can match, behind it at most what is left of either.
+        most = np.minimum.outer(pos - lone, pos - lone) + np.minimum.outer(n - pos, n - pos)
+        ok = (label[:, None] != label) & ((100 + percent) * most >= percent * np.add.outer(n, n))
+        if key[1].as_py() != key[2].as_py():
+            ok &= chunk[:, None] != chunk
+        if ok.any():
+            ok &= ~first_met(own.column("before").combine_chunks())
+        kept = own.take(pa.array(np.flatnonzero(ok.any(1)), pa.int64())).select(["token", "i", "j", "cid", "label", "n", "chunk", "before"])
+        yield from kept.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], schema=kept.schema)]
+
+    def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(list(batches))
+        cid, label, n, chunk = (own.column(c).to_numpy().astype(np.int64) for c in ("cid", "label", "n", "chunk"))
+        common = overlaps(own.column("grams").combine_chunks())
+        linked = (100 * common >= percent * (np.add.outer(n, n) - common)) & (label[:, None] != label)
+        if key[1].as_py() != key[2].as_py():
+            linked &= chunk[:, None] != chunk
+        if linked.any():
+            linked &= ~first_met(own.column("before").combine_chunks())
+        edges = [(int(cid[x]), int(cid[y]), None) for x, y in forest(linked)]
         if every:
-            cols += [pa.array(chunk[at], pa.int32()), own.column("before").combine_chunks().take(pa.array(at))]
-            names += ["chunk", "before"]
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+            links = linked @ own.column("rows").to_numpy().astype(np.int64)
+            edges += [(int(cid[x]), None, int(links[x])) for x in np.flatnonzero(links)]
+        cols = list(zip(*edges)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
     # Buckets with the same members ask for the same comparisons: one of them stays (alike in number and two 64-bit digests).
     alike = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
-    one = alike.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
-    members = saved(members.join(one, "token", "left_semi"), "ngram-mixed")
-    before = F.sum("n").over(Window.partitionBy("token").orderBy("rank")) - F.col("n")
-    chunked = members.select("token", "cid", "label", "n", "pos", "lone", F.floor(before / CHUNK).cast("int").alias("chunk"))
-    last = chunked.groupBy("token").agg(F.max("chunk").alias("last"))
+    one = saved(alike.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token", F.col("k").alias("size")), "ngram-buckets")
+    members = saved(spread_join(members, one, "token", "size").drop("size"), "ngram-places", (one,))
+    groups = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    shape = groups.groupBy("token").agg(F.sum("k").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("k", "label", "w")).alias("main"))
+    chunks = lambda k, w: F.ceil(F.greatest(k / MEMBERS, w / CHUNK))
+    if every:
+        shape = shape.select("token", "size", F.lit(None).cast("long").alias("main"), F.lit(0).cast("long").alias("n_main"), chunks(F.col("size"), F.col("weight")).alias("n_rest"))
+    else:
+        shape = shape.select("token", "size", F.col("main.label").alias("main"), chunks(F.col("main.k"), F.col("main.w")).alias("n_main"), chunks(F.col("size") - F.col("main.k"), F.col("weight") - F.col("main.w")).alias("n_rest"))
+    shape = saved(shape, "ngram-shapes")
+    at = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("cid"), F.col("n_main"))).otherwise(F.col("n_main") + F.pmod(F.xxhash64("cid"), F.col("n_rest")))
+    placed = spread_join(members, shape, "token", "size").withColumn("chunk", at.cast("int"))
     # Of each member: its buckets in the global order, so that each place knows the buckets before it.
-    places = chunked.join(last, "token").groupBy("cid").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.array_sort(F.collect_list(F.struct("pos", "token", "chunk", "last"))).alias("at"))
+    spot = F.struct("pos", "token", "chunk", F.col("n_main").cast("int").alias("low"), (F.col("n_main") + F.col("n_rest") - 1).cast("int").alias("last"))
+    places = placed.groupBy("cid").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.array_sort(F.collect_list(spot)).alias("at"))
     each = places.select("cid", "label", "n", "lone", F.col("at.token").alias("tokens"), F.posexplode("at").alias("k", "x"))
-    pairs = F.expr("transform(sequence(0, x.last), c -> struct(least(c, x.chunk) as i, greatest(c, x.chunk) as j))")
+    pairs = F.expr("transform(sequence(if(x.chunk < x.low, x.low, 0), x.last), c -> struct(least(c, x.chunk) as i, greatest(c, x.chunk) as j))")
     cut = each.select(F.col("x.token").alias("token"), "cid", "label", "n", "lone", F.col("x.pos").alias("pos"), F.col("x.chunk").alias("chunk"), F.slice("tokens", F.lit(1), F.col("k")).alias("before"), F.explode(pairs).alias("p"))
     cut = cut.select("token", "p.i", "p.j", "cid", "label", "n", "lone", "pos", "chunk", "before")
-    kept = "token long, i int, j int, cid long, label long, n int" + (", chunk int, before array<long>" if every else "")
-    asked = saved(cut.groupBy("token", "i", "j").applyInArrow(ask, kept), "ngram-asked")
+    asked = saved(cut.groupBy("token", "i", "j").applyInArrow(ask, "token long, i int, j int, cid long, label long, n int, chunk int, before array<long>"), "ngram-asked", (members, shape))
+    sent = asked.join(sets.select("cid", "grams"), "cid")
     if every:
-        met = asked.join(sets.select("cid", "grams"), "cid").join(rows, "cid").groupBy("token", "i", "j").applyInArrow(counted, "cid long, links long")
-        return met.groupBy("cid").agg(F.sum("links").alias("links"))
-    return asked.join(sets.select("cid", "grams"), "cid").groupBy("token", "i", "j").applyInArrow(settle, "a long, b long").distinct()
+        sent = sent.join(rows, "cid")
+    return saved(sent.groupBy("token", "i", "j").applyInArrow(settle, "a long, b long, links long"), "ngram-settled", (asked,))
 
 
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``: rows link at a Jaccard similarity of ``percent`` or more. With ``links`` also n_links, the number of other rows that the row links with (equal ones are counted, too)."""
-    spark = docs.sparkSession
-    rows = _classes(docs, k)
-    sets = _sets(docs, _hopeful(docs, k, percent), k)
-    release(spark)
-    prefixes = _prefixes(sets, percent)
-    release(spark)
+def _pivots(now: DataFrame, score: DataFrame, many: int) -> DataFrame:
+    """token, size, a, na, pa, sa, la: ``many`` pivots of each bucket at most, the ones with the most shared prefix of as many parts of the bucket."""
+    own = now.join(score, "cid")
+    part = F.pmod(F.xxhash64("cid"), F.lit(many))
+    top = own.groupBy("token", part.alias("part")).agg(F.max(F.struct("score", "cid", "n", "pos", "lone", "label")).alias("t"), F.count(F.lit(1)).alias("k"))
+    return top.groupBy("token").agg(F.sum("k").alias("size"), F.collect_list(F.struct(F.col("t.cid").alias("a"), F.col("t.n").alias("na"), F.col("t.pos").alias("pa"), F.col("t.lone").alias("sa"), F.col("t.label").alias("la"))).alias("ps"))
+
+
+def _merged_by_pivots(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links found by pivots, and the labels they give."""
     parts = saved(sets.select("cid", F.explode(F.expr(f"transform(sequence(0, {PARTS - 1}), p -> named_struct('part', p, 'grams', filter(grams, g -> shiftrightunsigned(g, 62) = p)))")).alias("x")).select("cid", "x.*").where("size(grams) > 0"), "ngram-parts")
-    score = prefixes.groupBy("cid").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "cid"))
-    members = prefixes.join(score, "cid").withColumns({"rank": rank, "size": F.count(F.lit(1)).over(Window.partitionBy("token"))}).where("size > 1").drop("score")
-    members = saved(members, "ngram-members")
-    most = members.agg(F.max("size")).first()[0] or 0
+    score = saved(members.groupBy("cid").agg((F.count(F.lit(1)) / F.first("n")).alias("score")), "ngram-scores")
     labels, edges = None, None
-    for low, high in PIVOTS:
-        if low >= most:
-            break
+    for many in PIVOTS:
         now = _mixed(members, labels)
-        a = now.where(F.col("rank").between(low, high)).select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lone").alias("sa"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        b = now.where(F.col("rank") > low).select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lone").alias("sb"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
-        # Before the place of a common n-gram only shared ones can match, behind it at most what is left of either.
+        pivots = saved(_pivots(now, score, many), "ngram-pivots")
+        b = now.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lone").alias("sb"), F.col("label").alias("lb"))
+        met = spread_join(b, pivots, "token", "size").select("b", "nb", "pb", "sb", "lb", F.explode("ps").alias("p")).select("b", "nb", "pb", "sb", "lb", "p.*")
         most_common = F.least(F.col("pa") - F.col("sa"), F.col("pb") - F.col("sb")) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        enough = (100 + percent) * most_common >= percent * (F.col("na") + F.col("nb"))
-        pairs = a.join(b, "token").where((F.col("ra") < F.col("rb")) & (F.col("la") != F.col("lb")) & enough)
+        pairs = met.where((F.col("la") != F.col("lb")) & ((100 + percent) * most_common >= percent * (F.col("na") + F.col("nb"))))
         flip = F.col("a") > F.col("b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
-        found = saved(_linked(saved(pairs, "ngram-pairs"), parts, percent), "ngram-links")
+        pairs = saved(pairs, "ngram-pairs", (now, pivots))
+        found = saved(_linked(pairs, parts, percent), "ngram-links", (pairs,))
         if not found.isEmpty():
             edges = found if edges is None else edges.union(found)
             labels = components(edges)
-        release(spark)
-    rest = saved(_settled(_mixed(members, labels), sets, percent), "ngram-rest")
-    if not rest.isEmpty():
-        edges = rest if edges is None else edges.union(rest)
-        labels = components(edges)
-    first = saved(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "ngram-first")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if labels is None:
-        grouped = first.limit(0).select("fp", F.lit(None).cast(kind).alias("group"))
+        release(members.sparkSession)
+    return edges, labels
+
+
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``: rows link at a Jaccard similarity of ``percent`` or more. With ``links`` also n_links, the number of other rows that the row links with (equal ones are counted, too)."""
+    spark = docs.sparkSession
+    rows = _classes(docs, k)
+    hopeful = _hopeful(docs, k, percent)
+    sets = _sets(docs, hopeful, k)
+    release(spark)
+    members = _prefixes(sets, percent)
+    release(spark)
+    same = saved(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "ngram-first")
+    if links:
+        edges, heavy = None, saved(sets.select("cid", "fp").join(same.select("fp", "rows"), "fp"), "ngram-rows")
+        rest = _settled(members.withColumn("label", F.col("cid")), sets, percent, heavy.select("cid", "rows"))
     else:
-        named = labels.join(sets.select(F.col("cid").alias("node"), "fp"), "node").join(first, "fp")
-        least = named.groupBy("label").agg(F.min("first").alias("group"))
-        grouped = saved(named.join(least, "label").select("fp", "group"), "ngram-groups")
-    out = rows.join(first, "fp", "left").join(grouped, "fp", "left")
+        edges, labels = _merged_by_pivots(members, sets, percent)
+        rest = _settled(_mixed(members, labels), sets, percent)
+    found = rest.where("b is not null").select("a", "b")
+    labels = components(found if edges is None else edges.union(found))
+    named = labels.join(sets.select(F.col("cid").alias("node"), "fp"), "node").join(same.select("fp", "first"), "fp")
+    least = named.groupBy("label").agg(F.min("first").alias("group"))
+    grouped = saved(named.join(least, "label").select("fp", "group"), "ngram-groups")
+    # Of the classes, those with a link or with several rows: all others are told by their own row.
+    told = same.join(grouped, "fp", "left")
     cols = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "first", "doc_id").alias("component_id")]
     if links:
-        release(spark)
-        same = rows.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("rows"))
-        heavy = saved(sets.select("cid", "fp").join(same, "fp"), "ngram-rows")
-        found = saved(_settled(_mixed(members, None), sets, percent, heavy.select("cid", "rows")), "ngram-counts")
-        others = heavy.join(found, "cid").select("fp", "links")
-        out = out.join(same, "fp", "left").join(others, "fp", "left")
+        counted = rest.where("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+        told = told.join(heavy.join(counted, "cid").select("fp", "links"), "fp", "left")
         cols.append((F.coalesce("links", F.lit(0).cast("long")) + F.coalesce(F.col("rows") - 1, F.lit(0).cast("long"))).alias("n_links"))
-    return out.select(*cols)
+    told = saved(told.where("rows > 1 or group is not null"), "ngram-told", (grouped,))
+    return spread_left(rows, told).select(*cols)
+
+
+def spread_left(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``rows`` with what is told of their classes (by fp); a class that holds a large share of the rows is broadcast."""
+    total = told.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(told.where(F.col("rows") * 1000 > total))
+    rest = rows.where("fp is null").unionByName(rows.where("fp is not null").join(hot.select("fp"), "fp", "left_anti"))
+    return rest.join(told.where(F.col("rows") * 1000 <= total), "fp", "left").unionByName(rows.join(hot, "fp"), allowMissingColumns=True)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
