@@ -1,95 +1,143 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A run is a sequence of consecutive lines with words. From every line, forwards
-and backwards, the shortest run of at least ``min_words`` words is a window; the
-least line hash in a window is its fingerprint. Any run of ``min_words`` words
-holds whole windows, so its fingerprints are found wherever it is repeated:
-that is winnowing's guarantee. Fingerprints found at two places or more are
-joined; from each such place the match is extended both ways to the window's
-ends by hashes of the window's lines (128 bits); overlapping windows make up
-longer runs. Of equal runs the first by (doc_id, text hash, line) stays, and
-the lines of later ones are deleted.
+and backwards, the shortest run of at least ``min_words`` words is a window, and
+the least line hash in it is its minimum (the first of equal ones). Only the
+places of minima are fingerprints, so of many short lines few are kept: (hash,
+document, place). Any run of ``min_words`` words holds whole windows, so equal
+runs have equal fingerprints at equal places: that is winnowing's guarantee.
+
+Fingerprints that occur at one place only are done with. From each place of the
+others the match is extended to the left and to the right: a window is told by its
+fingerprint and by the line hashes on either side of it, and windows that agree
+in all three are copies. Only documents with such places are read again for that.
+Overlapping windows make up longer runs. Of equal runs the first by (doc_id, text
+hash, line) stays, and the lines of later ones are deleted.
 
 So a line goes if, and only if, it lies in a run of at least ``min_words`` words
 that also begins at an earlier place. A run that overlaps its own copy loses
 only the later part.
 
+Texts without a deleted line aren't shuffled: a bitmap of bounded size, made of
+the keys of documents that lose lines, is broadcast; what it lets pass is joined exactly.
+
 Results by case: null text stays null; lines without words take no part, and go
 only between deleted lines of one run; rows repeated with equal id and text count
 as one document and get equal results; a null doc_id comes first; a text may lose
 all its lines and becomes empty; texts are read whole, and one with very many
-lines is one window partition of small rows. Other columns pass through.
+lines is one window partition of small rows; an empty table gives no rows. Other
+columns pass through, whatever their names: columns of this module take other ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldmill.llm._shared import saved, table
+from foldmill.llm._shared import own_names, saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-_KEY = ["_d", "_k1", "_k2"]
+_KEY = ["d", "k1", "k2"]
+#: The bitmap's words (64 bits each): at most so many rows of two numbers are broadcast, whatever the input.
+BITMAP_WORDS = 1 << 17
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.withColumns({"_d": F.col("doc_id"), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
+def _key(docs: DataFrame) -> list[Column]:
+    text = docs["text"].cast("string")
+    return [docs["doc_id"].alias("d"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """Deleted runs as _d, _k1, _k2 (the document) and runs (array of first and last line, from 0, apart and in order)."""
-    lines = _keyed(docs.select("doc_id", "text")).select(*_KEY, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    lines = lines.select(*_KEY, "pos", F.regexp_count("line", F.lit(WORD)).alias("w"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).where("w > 0")
+def _line_hashes(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
+
+
+def _same(a: str, b: str) -> Column:
+    """Keys of the frames named ``a`` and ``b`` are equal; null ids are equal, too."""
+    return F.col(f"{a}.k1").eqNullSafe(F.col(f"{b}.k1")) & F.col(f"{a}.k2").eqNullSafe(F.col(f"{b}.k2")) & F.col(f"{a}.d").eqNullSafe(F.col(f"{b}.d"))
+
+
+def windows_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """d, k1, k2, first, last, at (place of the minimum), m1, m2 (its hash) of every window, once for each document."""
+    text = docs["text"].cast("string")
+    lines = docs.select(*_key(docs), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    lines = lines.select(*_KEY, "pos", F.regexp_count("line", F.lit(WORD)).alias("w"), _line_hashes(F.col("line")).alias("h")).where("w > 0")
     lines = lines.repartition(*_KEY).dropDuplicates([*_KEY, "pos"])
     doc = Window.partitionBy(*_KEY)
     lines = lines.withColumn("e", F.sum("w").over(doc.orderBy("pos"))).withColumn("s", F.col("e") - F.col("w"))
     ahead, behind = doc.orderBy("s").rangeBetween(0, min_words - 1), doc.orderBy("e").rangeBetween(1 - min_words, 0)
 
     def over(frame):
-        return F.struct(
-            F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), (F.max("e").over(frame) - F.min("s").over(frame)).alias("words"),
-            F.min(F.struct("h1", "h2")).over(frame).alias("mark"), F.xxhash64(F.collect_list("h1").over(frame)).alias("c1"), F.xxhash64(F.collect_list("h2").over(frame)).alias("c2"),
-        )
+        least = F.min(F.struct("h", "pos")).over(frame)
+        words = F.max("e").over(frame) - F.min("s").over(frame)
+        return F.struct(F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), words.alias("words"), least.alias("least"))
 
     windows = lines.select(*_KEY, over(ahead).alias("a"), over(behind).alias("b")).select(*_KEY, F.explode(F.array("a", "b")).alias("x")).select(*_KEY, "x.*")
-    windows = windows.where(F.col("words") >= min_words).select(*_KEY, "first", "last", F.col("mark.h1").alias("m1"), F.col("mark.h2").alias("m2"), "c1", "c2")
-    windows = saved(windows.distinct(), "line-windows")
-    marks = windows.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m1", "m2")
-    matched = windows.join(saved(marks, "line-marks"), ["m1", "m2"], "left_semi")
-    place = F.struct(*_KEY, "first")
-    earliest = matched.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).where("n > 1").select("c1", "c2", "at")
-    later = windows.join(saved(earliest, "line-first"), ["c1", "c2"]).where(place != F.col("at")).select(*_KEY, "first", "last").distinct()
+    windows = windows.where(F.col("words") >= min_words).select(*_KEY, "first", "last", F.col("least.pos").alias("at"), F.col("least.h.h1").alias("m1"), F.col("least.h.h2").alias("m2"))
+    return windows.dropDuplicates([*_KEY, "first", "last"])
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
+    """Deleted runs as d, k1, k2 (the document) and runs (array of first and last line, from 0, apart and in order)."""
+    windows = saved(windows_of(docs, min_words), "line-windows")
+    places = windows.groupBy(*_KEY, "at").agg(F.first("m1").alias("m1"), F.first("m2").alias("m2"))
+    shared = saved(places.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m1", "m2"), "line-fingerprints")
+    # Windows around places of shared fingerprints, a row for each document.
+    around = windows.join(shared, ["m1", "m2"], "left_semi").groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "at", "m1", "m2")).alias("ws"))
+    hashes = F.transform(F.split(docs["text"].cast("string"), "\n", -1), lambda x: F.when(x.rlike(WORD), _line_hashes(x)))
+    again = docs.where(docs["text"].isNotNull()).select(*_key(docs), hashes.alias("hs")).dropDuplicates(_KEY)
+    matched = around.alias("a").join(again.alias("b"), _same("a", "b")).select("a.*", "b.hs")
+    matched = matched.select(*_KEY, "hs", F.explode("ws").alias("x")).select(*_KEY, "hs", "x.*")
+    # The match is extended both ways; lines without words don't count.
+    side = lambda start, n: F.xxhash64(F.filter(F.slice("hs", start, n), lambda h: h.isNotNull()))
+    left, right = side(F.col("first") + 1, F.col("at") - F.col("first")), side(F.col("at") + 2, F.col("last") - F.col("at"))
+    extended = saved(matched.select(*_KEY, "first", "last", "m1", "m2", left.alias("left"), right.alias("right")), "line-matches", (windows, shared))
+    content, place = ["m1", "m2", "left", "right"], F.struct(*_KEY, "first")
+    earliest = extended.groupBy(*content).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first_place")).where("n > 1").drop("n")
+    later = extended.join(saved(earliest, "line-first"), content).where(place != F.col("first_place")).select(*_KEY, "first", "last").distinct()
+    doc = Window.partitionBy(*_KEY)
     so_far = F.max("last").over(doc.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(F.coalesce(F.col("first") > so_far + 1, F.lit(True)), 1).otherwise(0))
     later = later.withColumn("run", F.sum("new").over(doc.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
     runs = later.groupBy(*_KEY, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return saved(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")), "line-runs")
+    return saved(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")), "line-runs", (extended,))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """``docs`` with text without later repeated runs, and _n_lines, _n_removed, _runs beside its own columns."""
-    runs = repeated_runs(docs, min_words).withColumnsRenamed({k: f"r{k}" for k in _KEY})
-    on = F.col("_d").eqNullSafe(F.col("r_d")) & (F.col("_k1") == F.col("r_k1")) & (F.col("_k2") == F.col("r_k2"))
-    # Texts are dealt by key at every size: small or large, the plan is the same.
-    out = _keyed(docs).join(runs.hint("merge"), on, "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.expr("transform(sequence(0, size(runs)), i -> struct(if(i = 0, 0, runs[i - 1].last + 1) as s, if(i = size(runs), size(_l), get(runs, i).first) as e))")
-    out = out.withColumn("_l", F.when(F.col("runs").isNotNull(), lines)).withColumn("_s", F.when(F.col("runs").isNotNull(), kept))
-    joined = F.expr("array_join(flatten(transform(_s, k -> slice(_l, k.s + 1, k.e - k.s))), '\n')")
+    """``docs`` with text without later repeated runs, and three more columns: numbers of lines and of removed lines, and the runs.
+
+    They are the last three, named _n_lines, _n_removed, _runs, with more underscores before a name that ``docs`` has.
+    """
+    runs = repeated_runs(docs, min_words)
+    n_lines, n_removed, spans = own_names(docs, "_n_lines", "_n_removed", "_runs")
+    text = docs["text"].cast("string")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    names = list(docs.columns)
+    word = lambda k: F.pmod(F.shiftright(F.col(k), 6), F.lit(BITMAP_WORDS))
+    bit = lambda k: F.expr(f"shiftleft(1L, cast({k} & 63 as int))")
+    bitmap = F.broadcast(runs.groupBy(word("k1").alias("word")).agg(F.bit_or(bit("k1")).alias("bits")))
+    keyed = docs.select(*_key(docs), text.alias("text"), row).withColumn("word", word("k1")).join(bitmap, "word", "left")
+    may = F.col("bits").isNotNull() & (F.col("bits").bitwiseAND(bit("k1")) != 0)
+    # Texts that may lose lines are dealt by key at every size; all others stay where they are.
+    found = keyed.where(may).alias("a").join(runs.hint("merge").alias("b"), _same("a", "b"), "left").select("row", "text", "runs")
+    out = keyed.where(~F.coalesce(may, F.lit(False))).select("row", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")).unionByName(found)
+    kept = F.expr("transform(sequence(0, size(runs)), i -> struct(if(i = 0, 0, runs[i - 1].last + 1) as s, if(i = size(runs), size(lines), get(runs, i).first) as e))")
+    out = out.withColumn("lines", F.when(F.col("runs").isNotNull(), F.split("text", "\n", -1))).withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
+    joined = F.expr("array_join(flatten(transform(kept, k -> slice(lines, k.s + 1, k.e - k.s))), '\n')")
     removed = F.expr("aggregate(runs, 0L, (n, r) -> n + r.last - r.first + 1)")
-    count = F.length("text") - F.length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(""))) + 1
-    names = [c for c in docs.columns if c != "text"]
+    count = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    own = F.when(F.col("runs").isNull(), F.col("text")).otherwise(joined)
     return out.select(
-        *names, F.when(F.col("runs").isNull(), F.col("text").cast("string")).otherwise(joined).alias("text"),
-        F.coalesce(count, F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(removed, F.lit(0).cast("long")).alias("_n_removed"), F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias("_runs"),
+        *((own if c == "text" else F.col("row").getField(c)).alias(c) for c in names),
+        F.coalesce(count, F.lit(0)).cast("long").alias(n_lines), F.coalesce(removed, F.lit(0).cast("long")).alias(n_removed),
+        F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")).alias(spans),
     )
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    spans = F.expr("array_join(transform(_runs, r -> concat(r.first, ':', r.last + 1)), ',')")
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), spans.alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    n_lines, n_removed, runs = out.columns[-3:]
+    spans = F.array_join(F.transform(runs, lambda r: F.concat(r["first"].cast("string"), F.lit(":"), (r["last"] + 1).cast("string"))), ",")
+    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), spans.alias("removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 OP10_SQL = r"""
