@@ -5,9 +5,15 @@ them lie in one flat array, every adjacent pair is looked up by binary search
 among the sorted pair keys, and each round merges, in every word, the pair of
 the lowest rank. Words met before come from a bounded memo.
 
+A very long word has rounds of its own, in which every place merges whose rank is
+the least as far to both sides as the longest token reaches: what is merged beyond
+can't reach it before its turn. So the number of rounds doesn't grow with the word,
+and the work grows in proportion to its length.
+
 Results by case: null text counts as empty; empty text gives no ids; repeated
 rows give repeated results; the strings of added tokens become their ids; a
-very long text is handled alone. Other columns of the input are ignored.
+very long text, or a text that is a single word, is handled alone; an empty table
+gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +30,20 @@ from pyspark.sql import DataFrame, SparkSession
 #: Fixed value: how byte-level BPE splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FAR = np.int64(1) << 40
+#: Bytes over which a word has rounds of its own.
+LONG = 2_000
+
+
+def _least_around(rank: np.ndarray, reach: int) -> np.ndarray:
+    """The least value from ``reach`` places before to as many behind each place."""
+    wide, n = 2 * reach + 1, len(rank)
+    rows = -(-(n + 2 * reach) // wide)
+    flat = np.full(rows * wide, _FAR)
+    flat[reach : reach + n] = rank
+    block = flat.reshape(rows, wide)
+    ahead = np.minimum.accumulate(block, 1).ravel()
+    behind = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[wide - 1 : wide - 1 + n])
 
 
 def byte_chars() -> list[str]:
@@ -59,6 +79,7 @@ class Bpe:
         self.added = {a["content"]: a["id"] for a in j["added_tokens"]}
         for s, i in self.added.items():
             self.pieces[i] = s.encode()
+        self.reach = max(map(len, self.pieces))
         self._ready()
 
     def _ready(self):
@@ -107,6 +128,37 @@ class Bpe:
             sym, word = sym[keep], word[keep]
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _FAR)
+
+    def merge_long(self, word: bytes) -> bytes:
+        """Ids of one word, by rounds of all merges that nothing farther off can forestall."""
+        sym = self.first[np.frombuffer(word, np.uint8)]
+        rank = self._ranks(sym[:-1], sym[1:])
+        while len(rank) and rank.min() < _FAR:
+            hit = (rank == _least_around(rank, self.reach)) & (rank < _FAR)
+            i = np.flatnonzero(hit)
+            # Pairs that overlap (equal symbols) merge every other place from the left: only as far as all of them are certain, from where their run begins.
+            run = np.r_[True, (np.diff(i) != 1) | (rank[i[1:]] != rank[i[:-1]])]
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(i)), 0))
+            first = i[begin]
+            certain = (first == 0) | (rank[np.maximum(first - 1, 0)] != rank[first])
+            i = i[((np.arange(len(i)) - begin) % 2 == 0) & certain]
+            sym[i] = self.into[rank[i]]
+            keep = np.ones(len(sym), bool)
+            keep[i + 1] = False
+            here = np.cumsum(keep)[i] - 1  # places of the new symbols
+            # A pair that loses its right symbol to the left one is gone; those beside a new symbol are looked up again.
+            rank = rank[keep[1:]] if len(keep) > 1 else rank
+            sym = sym[keep]
+            stale = np.unique(np.r_[here - 1, here])
+            stale = stale[(stale >= 0) & (stale < len(sym) - 1)]
+            rank = rank[: len(sym) - 1]
+            rank[stale] = self._ranks(sym[stale], sym[stale + 1])
+        return sym.astype("<u4").tobytes()
+
     def pretokens(self, text: str) -> list[str]:
         if not self.stops or not any(s in text for s in self.added):
             return self.split.findall(text)
@@ -122,7 +174,10 @@ class Bpe:
         split = [self.pretokens(t) for t in texts]
         own = {s: np.array([i], "<u4").tobytes() for s, i in self.added.items()}
         new = list(set().union(*split) - self.words.keys() - own.keys())
-        found = dict(zip(new, self.merge([w.encode() for w in new])))
+        coded = [w.encode() for w in new]
+        short = [w for w in coded if len(w) <= LONG]
+        merged = iter(self.merge(short))
+        found = {w: self.merge_long(c) if len(c) > LONG else next(merged) for w, c in zip(new, coded)}
         self.words |= {w: v for w, v in found.items() if len(w) <= 64}
         known = self.words | own if any(s in t for s in self.added for t in texts) else self.words
         return [b"".join([known[w] if w in known else found[w] for w in ws]) for ws in split]
