@@ -2,7 +2,7 @@
 
 A host written backwards (org.example.www) puts all subdomains of a rule's host
 into one interval of keys. URLs and rules are cut into ranges of keys by
-splitters from a bounded sample; a rule goes to each range its interval meets,
+splitters from a bounded sample, and each range is a task of its own; a rule goes to each range its interval meets,
 a URL to exactly one (page key included, so that one busy host, even one busy
 URL, is split like any other run of rows). Each range is sorted and swept once
 with a stack of the rules' hosts that are open at the current key; among the
@@ -10,13 +10,15 @@ rules of the open hosts whose path begins the URL's path, the longest wins.
 
 Results by case: a null URL or one without :// has empty host and path, no rule,
 and the default verdict; repeated rows are judged alike; an empty rule table
-gives the default everywhere; of equal rules, block wins. Length ties between
+gives the default everywhere, an empty page table no rows; of equal rules, block
+wins; other columns of the input are ignored. Length ties between
 rules go to the longer host.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,16 +43,30 @@ def key_of(host):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\u0001"), F.lit("\u0001"))
 
 
+def _cuts(keys: DataFrame, ranges: int) -> list[tuple[bytes, int]]:
+    """Where the keys (k, h) are cut into about equal ranges.
+
+    About SAMPLE keys are asked for in all, however many partitions there are: a
+    hash picks a share of the different keys that follows from their number of rows,
+    equal keys are counted where they are, and one task keeps 2 * SAMPLE of them at
+    most. They decide where ranges end, never what is judged.
+    """
+    share = SAMPLE / max(keys.count(), 1)
+    # Another hash than h, which would pick keys by their place in a range.
+    chosen = keys if share >= 1 else keys.where(F.pmod(F.xxhash64(F.lit(5), "k", "h"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    found = chosen.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).repartition(1).limit(2 * SAMPLE).collect()
+    found = sorted((r["k"].encode(), r["h"], r["n"]) for r in found)
+    ends = list(itertools.accumulate(n for _, _, n in found))
+    return sorted({found[bisect.bisect_left(ends, ends[-1] * i / ranges)][:2] for i in range(1, ranges)}) if found else []
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages``; ``rules`` has host, path, verdict."""
     spark = pages.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = pages.schema["page_id"].dataType.simpleString()
     urls = _parts(pages, url).withColumn("k", key_of("host"))
-    # The sample has a fixed bound and only decides where ranges are cut, never what is judged.
-    sample = urls.select("k", F.xxhash64("page_id", "path").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    sample = sorted((r["k"].encode(), r["h"]) for r in sample)
-    cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    cuts = _cuts(urls.select("k", F.xxhash64("page_id", "path").alias("h")), ranges)
 
     def deal(batches):
         for batch in batches:
@@ -79,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     events = dealt.unionByName(own.mapInArrow(copies, f"part int, {first}, {last}"))
     # UTF-8 strings sort by their bytes, as the keys in cuts do; a rule sorts before the URLs of its own host.
-    events = events.repartition(ranges, "part").sortWithinPartitions("part", "k", F.desc("rule"))
+    events = events.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "k", F.desc("rule"))
 
     def sweep(batches):
         now, stack = None, []  # (key, host, {path: verdict}, path lengths from long to short)
