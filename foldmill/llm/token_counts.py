@@ -35,8 +35,10 @@ SEGMENT = 1024
 def write_token_files(docs: DataFrame, path: str, ranks_path: str, eod_id: int = 50256, dtype: str = "<u2") -> DataFrame:
     """Writes ``docs`` to one token file a partition and returns where each row went: file, ordinal, doc_id.
 
-    A file gets its name only when it is whole, so a task that is run again
-    replaces its own file and nothing else.
+    Each attempt of a task has a file of its own, which gets its name only when it
+    is whole, and its rows name that file: rows and tokens are always those of one
+    attempt, whatever order another one read its input in. Files of attempts whose
+    rows weren't kept are scanned, too, but no row leads to them.
     """
     import public_tokenizers
 
@@ -50,9 +52,9 @@ def write_token_files(docs: DataFrame, path: str, ranks_path: str, eod_id: int =
 
         coder = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         fs, folder = pafs.FileSystem.from_uri(path)
-        name = f"part-{TaskContext.get().partitionId():06d}.bin"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         fs.create_dir(folder, recursive=True)
-        part, n, out = f"{folder}/.{name}.{uuid.uuid4().hex}", 0, None
+        part, n, out = f"{folder}/.{name}", 0, None
         try:
             for batch in batches:
                 for row in range(0, batch.num_rows, 512):
