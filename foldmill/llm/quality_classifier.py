@@ -10,7 +10,9 @@ there are fewer); scoring covers every row.
 Results by case: null and empty texts have zero statistics and a score like any
 other; repeated rows score alike; without usable labels, or with one class only,
 the score is the share of label 1 smoothed by one of each (0.5 for no labels);
-a doc_id labelled more than once counts with its lowest label.
+a doc_id labelled more than once counts with its lowest label, one that several
+rows have with one of them; an empty table gives no rows; other columns may have
+any names; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -53,20 +55,18 @@ def text_stats(text: bytes) -> list[float]:
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """All columns of every row, and the statistics, as columns named _ and the statistic (a column of such a name is replaced)."""
-    own = [c for c in docs.columns if c not in {f"_{s}" for s in STATS}]
-    kept = docs.select(*own)
-    at = own.index("text")
+    """row (all columns of ``docs`` in a struct, so that no name clashes) and the statistics of every row, as columns named as in STATS."""
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            cols = list(zip(*(text_stats(t or b"") for t in as_bytes(batch.column(at))))) or [()] * len(STATS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in cols)], names=[*batch.schema.names, *(f"_{s}" for s in STATS)])
+            cols = list(zip(*(text_stats(t or b"") for t in as_bytes(batch.column(1))))) or [()] * len(STATS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in cols)], names=["row", *STATS])
 
-    schema = kept.withColumn("text", F.col("text").cast("string")).schema
+    schema = own.select("row").schema
     for s in STATS:
-        schema = schema.add(f"_{s}", "double")
-    return kept.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+        schema = schema.add(s, "double")
+    return own.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,7 +74,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Rows of ``docs`` with column ``label`` from the folds for learning: those of at most ``max_rows`` labels, so small enough to broadcast."""
+    """doc_id, text, label of ``docs`` from the folds for learning: those of at most ``max_rows`` labels, so small enough to broadcast. A doc_id may have many rows."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.min(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(own), "doc_id")
@@ -129,7 +129,7 @@ class RuleModel:
         for rule, weight in self.rules:
             test = F.lit(True)
             for f, above, t in rule:
-                test &= (F.col(f"_{STATS[f]}") > t) if above else (F.col(f"_{STATS[f]}") <= t)
+                test &= (F.col(STATS[f]) > t) if above else (F.col(STATS[f]) <= t)
             z = z + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
@@ -171,23 +171,23 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000) -> RuleModel:
-    """Learns ``label`` from the folds for learning, on at most ``max_rows`` labelled rows."""
-    sample = labelled(docs, labels, label, max_rows)
-
-    got = with_stats(sample).select("doc_id", "label", *(F.col(f"_{s}").alias(s) for s in STATS)).toPandas()
+    """Learns ``label`` from the folds for learning, on at most ``max_rows`` labelled documents: of rows with the same id the one with the least statistics, chosen before anything is collected."""
+    sample = with_stats(labelled(docs, labels, label, max_rows))
+    one = sample.groupBy(F.col("row.doc_id").alias("doc_id")).agg(F.first("row.label").alias("label"), F.min(F.struct(*STATS)).alias("x"))
+    got = one.select("doc_id", "label", "x.*").toPandas()
     got = got.sort_values(["doc_id", *STATS], kind="stable")
     return fit_rules(got[STATS].to_numpy(float), (got["label"].to_numpy() > 0).astype(float))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    own = with_stats(docs.select("doc_id", "text")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    own = with_stats(docs.select("doc_id", "text")).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), model.column().alias("score"))
     return own.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """Rows of ``docs`` that the model accepts, in one scan."""
-    return with_stats(docs).where(model.column() >= threshold).select(*docs.columns)
+    return with_stats(docs).where(model.column() >= threshold).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
