@@ -3,12 +3,14 @@
 A linear-chain conditional random field marks each line of a text as content or
 boilerplate by Viterbi decoding; the share of words in content lines decides
 retention, after fixed base rules. The field is trained here, on lines of a
-bounded sample of labelled documents: lines of documents labelled bad, and lines
-equal to an earlier one, count as boilerplate, the others as content.
+bounded sample of labelled documents: lines of documents labelled bad count as
+boilerplate, the others as content; no feature of a line makes its label.
 
 Results by case: null and empty texts have no words and fail the base rules;
 repeated rows give repeated results; without labels of both kinds the field
-keeps fixed start weights that call every line content; texts are read whole.
+keeps fixed start weights that call every line content; texts are read whole;
+ties between paths go to content; an empty table gives no rows; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldmill.llm._shared import as_bytes, table
 from foldmill.llm.quality_classifier import labelled
@@ -127,21 +130,22 @@ def fit_field(seqs: list[np.ndarray], marks: list[np.ndarray], steps: int = 120,
 
 
 def train_field(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 1500, max_lines: int = 60) -> LineField:
-    """Trains on at most ``max_rows`` labelled documents of at most ``max_lines`` lines; longer ones are left out of training only."""
+    """Trains on at most ``max_rows`` labelled documents of at most ``max_lines`` lines; longer ones are left out of training only. Of rows with the same id one is taken, chosen before anything is collected."""
 
     def run(batches):
         for batch in batches:
-            for text, mark in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            for doc_id, text, mark in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 f, _ = line_features(text or b"")
                 if 0 < len(f) <= max_lines:
-                    yield pa.RecordBatch.from_arrays([pa.array([f.ravel().tolist()], pa.list_(pa.float64())), pa.array([mark], pa.int32())], names=["f", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], batch.column(0).type), pa.array([f.ravel().tolist()], pa.list_(pa.float64())), pa.array([mark], pa.int32())], names=["doc_id", "f", "label"])
 
     rows = labelled(docs, labels, label, max_rows)
-    got = rows.selectExpr("text", "cast(label as int) as label").mapInArrow(run, "f array<double>, label int").collect()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.selectExpr("doc_id", "text", "cast(label as int) as label").mapInArrow(run, f"doc_id {kind}, f array<double>, label int")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("f", "label")).alias("x")).select("x.*").collect()
     got = sorted((list(r["f"]), r["label"]) for r in got)
     seqs = [np.array(f).reshape(-1, len(FEATURES)) for f, _ in got]
-    again = FEATURES.index("repeat")
-    return fit_field(seqs, [((s[:, again] == 0) & (mark > 0)).astype(int) for s, (_, mark) in zip(seqs, got)])
+    return fit_field(seqs, [np.full(len(s), int(mark > 0)) for s, (_, mark) in zip(seqs, got)])
 
 
 def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
