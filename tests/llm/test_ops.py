@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldmill.llm import bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, secrets, token_counts, url_filter
 from foldmill.llm._shared import fresh_path
@@ -246,15 +247,102 @@ def test_viterbi_is_the_best_of_all_paths():
     assert field.viterbi(f) == list(max(product((0, 1), repeat=7), key=score))
 
 
+def pieces_of(spark, turns, **cut):
+    return chat_format.conversation_pieces(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), **cut)
+
+
+def whole(out):
+    """Rendered conversations, put together from their pieces."""
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["conv_id"]].append((tuple(r["piece"]), r["rendered"]))
+    return {c: "".join(t for _, t in sorted(v)) for c, v in got.items()}
+
+
+def talk(convs, turns, lines=2):
+    return [(c, t, "user" if t % 2 == 0 else "assistant", "\n".join(" ".join(words(4 + 5 * (t % 2), 17 * c + t + 1000 * k)) for k in range(lines))) for c in range(convs) for t in range(turns)]
+
+
 def test_chat_roles_round_trip(spark):
-    rows = [(c, t, "user" if t % 2 == 0 else "assistant", " ".join(words(4 + 5 * (t % 2), 17 * c + t)) + "\nmore of it") for c in range(60) for t in range(6)]
-    turns = spark.createDataFrame([*rows, (None, 0, "user", "lost"), (7, None, None, None)], "conv_id long, turn long, role string, text string")
-    model = chat_format.train_roles(turns)
-    got = {(r["conv_id"], r["piece"]): r for r in chat_format.format_conversations(turns, model).collect()}
-    assert sum(r["n_lines_right"] for r in got.values()) == sum(r["n_lines"] for r in got.values())
-    assert got[(3, 0)]["rendered"] == chat_format.render([(r, t) for c, _, r, t in rows if c == 3])
+    rows = talk(60, 6)
+    pieces = pieces_of(spark, [*rows, (None, 0, "user", "lost"), (7, None, None, None)])
+    model = chat_format.train_roles(pieces)
+    out = chat_format.format_conversations(pieces, model)
+    got = out.collect()
+    assert sum(r["n_lines_right"] for r in got) == sum(r["n_lines"] for r in got) and sum(r["n_turns"] for r in got) == sum(r["n_turns_true"] for r in got)
+    assert whole(out)[3] == chat_format.render([(r, t) for c, _, r, t in rows if c == 3])
     out = chat_format.parse_transcripts(spark.createDataFrame([(1, "User: hi\nthere\n\nBot: yes"), (2, None), (3, "")], "transcript_id long, text string"), model).collect()
     assert [[(t["role"], t["text"]) for t in r["turns"]] for r in out] == [[("user", "hi\nthere"), ("assistant", "yes")], [], []]
+    assert chat_format.format_conversations(pieces_of(spark, []), chat_format.train_roles(pieces_of(spark, []))).count() == 0
+
+
+def test_chat_viterbi_is_the_best_of_all_paths():
+    from itertools import product
+
+    r = np.random.default_rng(1)
+    for n in (1, 2, 5):
+        for _ in range(20):
+            m = chat_format.RoleModel(r.random(6), r.random((6, 6)), r.random((6, chat_format.SYMBOLS)))
+            seen = r.integers(0, chat_format.SYMBOLS, n).tolist()
+            score = lambda p: m.start[p[0]] + sum(m.emit[s, o] for s, o in zip(p, seen)) + sum(m.move[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            best = max(product(range(6), repeat=n), key=score)
+            assert m.viterbi(seen) == list(best)
+            assert np.isclose(m.through(seen)[6, :6].max(), score(best))
+
+
+@pytest.mark.parametrize("piece", [1, 3, 700])
+def test_chat_pieces_change_nothing(spark, piece):
+    r = random.Random(3)
+    rows = [(c, t, r.choice(["user", "assistant", "system", None]), r.choice(["", "A: " * (t % 2)]) + " ".join(words(r.randint(0, 60), t)) + "\n" * r.randint(0, 2) + "Question: what") for c, n in ((0, 1400), (1, 5), (2, 1), (3, 0), (None, 4)) for t in range(n)]
+    rows += [(1, 2, "user", None), (2, 9, "user", ""), (4, 0, None, None)]
+    uncut = pieces_of(spark, rows, piece=10**6, rows=10**6)
+    model = chat_format.RoleModel(*chat_format.prior())
+    want = chat_format.format_conversations(uncut, model).collect()
+    out = chat_format.format_conversations(pieces_of(spark, rows, piece=piece), model)
+    got, text = defaultdict(list), whole(out)
+    for x in sorted(out.collect(), key=lambda x: tuple(x["piece"])):
+        got[x["conv_id"]] += x["states"]
+    assert len(want) == len(got) == 5
+    for x in want:
+        (ts,) = [p["ts"] for p in uncut.where(F.col("conv_id").eqNullSafe(F.lit(x["conv_id"]))).collect()]
+        seen = chat_format.observe(chat_format.raw_transcript([(t["role"], t["text"]) for t in ts], hashlib.md5(str(x["conv_id"]).encode()).digest()[0])[0])[2]
+        score = lambda p: sum(model.emit[s, o] for s, o in zip(p, seen)) + sum(model.move[a, b] for a, b in zip(p, p[1:])) + sum(model.start[s] for s in p[:1])  # noqa: E731, B023
+        # Equally good paths are many here; texts are the same where the paths are.
+        assert len(got[x["conv_id"]]) == len(seen) and np.isclose(score(got[x["conv_id"]]), score(x["states"]))
+        if got[x["conv_id"]] == x["states"]:
+            assert text[x["conv_id"]] == x["rendered"]
+    assert any(got[c] == x["states"] and len(x["states"]) > 5 for x in want for c in [x["conv_id"]])
+
+
+def test_chat_hot_blocks_are_cut(spark):
+    rows = [(1, 0, "user", f"same turn {k % 700}") for k in range(3000)] + [(1, None, "user", "copy")] * 500 + [(2, t, "user", "x") for t in range(50)]
+    pieces = pieces_of(spark, rows, piece=64, rows=100)
+    sizes = [(x["conv_id"], len(x["ts"])) for x in pieces.collect()]
+    assert sum(n for _, n in sizes) == len(rows) and max(n for _, n in sizes) <= 200 and [n for c, n in sizes if c == 2] == [50]
+    assert Counter((x["conv_id"], t["turn"], t["text"]) for x in pieces.collect() for t in x["ts"]) == Counter((c, t, x) for c, t, _, x in rows)
+
+
+def test_chat_line_accuracy_on_noisy_unseen_conversations(spark):
+    """Conversations that weren't trained on, with lines that look like markers inside turns, and every eighth marker missing."""
+    r = random.Random(12)
+    model = chat_format.train_roles(pieces_of(spark, talk(80, 8)))
+    right = lines = 0
+    for c in range(1000, 1100):
+        text, want = [], []
+        for t in range(8):
+            role = t % 2
+            mark = chat_format.STYLES[c % 5][role] if r.random() > 1 / 8 or t == 0 else ""
+            own = [" ".join(words(r.randint(4, 20), 31 * c + t + k)) for k in range(3)]
+            if r.random() < 0.1:
+                own[1] = r.choice(["Note: ", "Step 2: ", "answering: "]) + own[1]
+            text.append(mark + "\n".join(own))
+            n = sum(1 for x in text[-1].split("\n") if x.strip())
+            want += [2 * (1 + role)] + [2 * (1 + role) + 1] * (n - 1)
+        got = model.viterbi(chat_format.observe("\n\n".join(text))[2])
+        right += sum(a // 2 == b // 2 for a, b in zip(got, want))
+        lines += len(want)
+    assert right / lines > 0.8, right / lines
+    print("role accuracy by line", right / lines)
 
 
 def brute_lines(rows, need):
