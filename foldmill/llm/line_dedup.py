@@ -80,7 +80,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """Deleted runs as d, k1, k2 (the document) and runs (array of first and last line, from 0, apart and in order)."""
     windows = saved(windows_of(docs, min_words), "line-windows")
     places = windows.groupBy(*_KEY, "at").agg(F.first("m1").alias("m1"), F.first("m2").alias("m2"))
-    shared = saved(places.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m1", "m2"), "line-fingerprints")
+    shared = places.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m1", "m2")
     # Windows around places of shared fingerprints, a row for each document.
     around = windows.join(shared, ["m1", "m2"], "left_semi").groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "at", "m1", "m2")).alias("ws"))
     hashes = F.transform(F.split(docs["text"].cast("string"), "\n", -1), lambda x: F.when(x.rlike(WORD), _line_hashes(x)))
@@ -90,10 +90,10 @@ def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
     # The match is extended both ways; lines without words don't count.
     side = lambda start, n: F.xxhash64(F.filter(F.slice("hs", start, n), lambda h: h.isNotNull()))
     left, right = side(F.col("first") + 1, F.col("at") - F.col("first")), side(F.col("at") + 2, F.col("last") - F.col("at"))
-    extended = saved(matched.select(*_KEY, "first", "last", "m1", "m2", left.alias("left"), right.alias("right")), "line-matches", (windows, shared))
+    extended = saved(matched.select(*_KEY, "first", "last", "m1", "m2", left.alias("left"), right.alias("right")), "line-matches", (windows,))
     content, place = ["m1", "m2", "left", "right"], F.struct(*_KEY, "first")
     earliest = extended.groupBy(*content).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first_place")).where("n > 1").drop("n")
-    later = extended.join(saved(earliest, "line-first"), content).where(place != F.col("first_place")).select(*_KEY, "first", "last").distinct()
+    later = extended.join(earliest, content).where(place != F.col("first_place")).select(*_KEY, "first", "last").distinct()
     doc = Window.partitionBy(*_KEY)
     so_far = F.max("last").over(doc.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(F.coalesce(F.col("first") > so_far + 1, F.lit(True)), 1).otherwise(0))
