@@ -7,20 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foldmill.functions.text import split_lines
+from foldmill.functions.text import LINE_END, let, paragraphs
 
 Test = Callable[[Column], Column]
-_count = lambda t, s: (F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))) / len(s)
-_lines = lambda t: F.size(split_lines(t))
+_count = lambda t, s: F.regexp_count(t, F.lit(s))
+#: Lines, counted without cutting the text up: an end that nothing follows doesn't begin another one.
+_lines = lambda t: F.regexp_count(t, F.lit(LINE_END)) + F.when((t == "") | t.rlike(rf"({LINE_END})\z"), 0).otherwise(1)
 #: Token pattern of the phrase encodings, as fixed.
 TOKEN = r"(?U)\s+|[A-Za-z0-9_./:@=-]+|[^\w\s]"
 
 
 def _paragraphs(t: Column) -> Column:
-    return F.filter(F.transform(F.split(t, r"\n\s*\n", -1), F.trim), lambda c: F.length(c) > 40)
+    return F.filter(paragraphs(t), lambda c: F.length(c) > 40)
 
 
-#: Detectors of text payloads, in the order in which equal costs are ranked.
+#: Detectors of text payloads, in the order in which equal costs are ranked; thresholds and words are fixed values. Those of records and trees are in operators/batches.py.
 TEXT: dict[str, Test] = {
     "blob_ref": lambda t: t.rlike(r"[A-Za-z0-9+/]{160,}={0,2}"),
     "sidecar_ref": lambda t: F.length(t) >= 3000,
@@ -33,12 +34,11 @@ TEXT: dict[str, Test] = {
     "code_symbols": lambda t: (_lines(t) >= 30) & t.rlike(r"(?m)^\s*(def|class|function|const|interface|type|package|func)\s+"),
     "domain_table": lambda t: (F.length(t) >= 400) & t.rlike("apiVersion:|kind:|metadata:|# |<html|<body"),
     "code_tokens": lambda t: (_lines(t) >= 20) & t.rlike(r"(?m)^\s*(def|class|import|from)\b"),
-    "dedupe": lambda t: (F.size(_paragraphs(t)) >= 4) & (F.size(F.array_distinct(_paragraphs(t))) < F.size(_paragraphs(t))),
+    "dedupe": lambda t: F.coalesce(F.when(F.contains(t, F.lit("\n")), let(_paragraphs(t), lambda p: (F.size(p) >= 4) & (F.size(F.array_distinct(p)) < F.size(p)))), F.lit(False)),
     "chunk_store": lambda t: (F.length(t) >= 1200) & (F.contains(t, F.lit("\n\n")) | (_count(t, "\n") >= 20)),
     "separator_segments": lambda t: (F.length(t) >= 500) & (F.contains(t, F.lit("\n\n")) | F.contains(t, F.lit("---\n")) | (_count(t, "\n") >= 20)),
     "log_summary": lambda t: (_lines(t) >= 20) & t.rlike(r"\b(ERROR|WARN|WARNING|INFO|DEBUG|TRACE|CRITICAL)\b"),
     "log_templates": lambda t: _lines(t) >= 8,
-    "atom_dict": lambda t: F.length(t) >= 500,
     "xml_path": lambda t: F.ltrim(t).startswith("<") & t.endswith(">"),
     "meta_tokens": lambda t: F.length(t) >= 700,
     "token_lz": lambda t: F.regexp_count(t, F.lit(TOKEN)) >= 120,
@@ -47,7 +47,7 @@ TEXT: dict[str, Test] = {
     "transport_deflate": lambda t: F.length(t) >= 600,
     "extractive": lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) >= 500,
 }
-#: Rank among candidates of equal cost, for all encodings, detectors over trees included.
+#: Fixed value: rank among candidates of equal cost, for all encodings, detectors over trees included.
 RANK = {k: i for i, k in enumerate(["session_delta", "blob_ref", "sidecar_ref", "openapi", "terraform_plan", "k8s_yaml", "ci_output", "tool_output", "html_visible", "markdown_outline", "code_symbols", "domain_table", "code_tokens", "dedupe", "chunk_store", "separator_segments", "log_summary", "log_templates", "shape_rows", "schema_rows", "tree_dict", "path_dict_rows", "atom_dict", "xml_shape_rows", "json_table", "json_path", "xml_path", "meta_tokens", "token_lz", "grammar", "pattern_hash", "transport_deflate", "binary", "extractive"])}
 
 

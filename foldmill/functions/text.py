@@ -52,3 +52,50 @@ def numbered(items: Column, prefix: str, sep: str) -> Column:
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of a value that is computed once, even where ``f`` uses it inside other lambdas (those would compute an expression for each element)."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Words of a text, and those that are too common to count.
+WORD = "[A-Za-z][A-Za-z0-9_-]+"
+STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "into", "have", "has"]
+
+
+def array_of(kind: str) -> Column:
+    """An empty array."""
+    return F.array().cast(f"array<{kind}>")
+
+
+def runs(ordered: Column, key: Callable[[Column], Column]) -> Column:
+    """Of an array in the order of ``key``: where each run of equal keys begins, and its length."""
+    begins = F.transform(ordered, lambda x, i: F.when(F.coalesce(key(x) != key(F.get(ordered, i - 1)), F.lit(True)), i))
+    return let(F.filter(begins, lambda i: i.isNotNull()), lambda b: F.transform(b, lambda x, k: F.struct(x.alias("begin"), (F.coalesce(F.get(b, k + 1), F.size(ordered)) - x).alias("n"))))
+
+
+def tally(items: Column) -> Column:
+    """Different items in the order of first appearance: structs of first, n, item, at (all places). It sorts, so long rows cost no square."""
+
+    def counted(s: Column) -> Column:
+        of = lambda r: F.struct(F.get(s, r["begin"])["at"].alias("first"), r["n"].alias("n"), F.get(s, r["begin"])["item"].alias("item"), F.transform(F.slice(s, r["begin"] + 1, r["n"]), lambda x: x["at"]).alias("at"))
+        return F.array_sort(F.transform(runs(s, lambda x: x["item"]), of))
+
+    return let(F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("at")))), counted)
+
+
+def spread(groups: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """For each place in a tally the value of its group (struct, number), in the order of the places."""
+    each = F.flatten(F.transform(groups, lambda g, k: let(value(g, k), lambda v: F.transform(g["at"], lambda a: F.struct(a.alias("at"), v.alias("v"))))))
+    return F.transform(F.array_sort(each), lambda x: x["v"])
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def paragraphs(text: Column) -> Column:
+    """Texts between blank lines, stripped; empty ones are left out."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n", -1), strip), lambda p: p != "")
+
+
+def json_counts(names: Column, counts: Column) -> Column:
+    """A JSON object of numbers by name, in order."""
+    return F.concat(F.lit("{"), F.array_join(F.zip_with(names, counts, lambda k, n: F.concat(F.lit('"'), F.replace(F.replace(k, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'), n.cast("string"))), ","), F.lit("}"))

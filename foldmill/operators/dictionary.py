@@ -10,23 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foldmill.functions.text import let, marker, numbered, preview, sha16, split_lines
-
-
-def repeated(items: Column) -> Column:
-    """Items that occur twice or more, in the order of first appearance."""
-    return let(F.array_sort(items), lambda s: F.array_intersect(items, F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
+from foldmill.functions.text import let, marker, numbered, paragraphs, preview, runs, sha16, split_lines, spread, tally
 
 
 def pattern_hash(text: Column) -> Column:
     """Lines of more than 8 characters that repeat become #0, #1, ...; without any, the text itself."""
+    is_known = lambda g: (g["n"] > 1) & (F.length(g["item"]) > 8)
 
-    def coded(lines: Column, known: Column) -> Column:
-        rows = F.transform(lines, lambda x: F.when(F.array_contains(known, x), F.concat(F.lit("#"), (F.array_position(known, x) - 1).cast("string"))).otherwise(x))
-        out = F.array_join(F.concat(F.array(F.lit(marker("pattern_hash")), F.lit("@dict")), numbered(known, "#", "="), F.array(F.lit("@rows")), rows), "\n")
-        return F.when(F.size(known) > 0, out).otherwise(text)
+    def coded(groups: Column, known: Column) -> Column:
+        named = F.transform(known, lambda g, k: F.struct(g["at"].alias("at"), F.concat(F.lit("#"), k.cast("string")).alias("v")))
+        plain = F.transform(F.filter(groups, lambda g: ~is_known(g)), lambda g: F.struct(g["at"].alias("at"), g["item"].alias("v")))
+        rows = spread(F.concat(named, plain), lambda g, k: g["v"])
+        return F.array_join(F.concat(F.array(F.lit(marker("pattern_hash")), F.lit("@dict")), numbered(F.transform(known, lambda g: g["item"]), "#", "="), F.array(F.lit("@rows")), rows), "\n")
 
-    return let(split_lines(text), lambda lines: let(F.filter(repeated(lines), lambda x: F.length(x) > 8), lambda known: coded(lines, known)))
+    out = lambda groups: let(F.filter(groups, is_known), lambda known: F.when(F.size(known) > 0, coded(groups, known)).otherwise(text))
+    return let(tally(split_lines(text)), out)
 
 
 def pattern_hash_decode(payload: Column) -> Column:
@@ -56,13 +54,14 @@ def _indexed(text: Column, seps: list[str], name: str, ident: str, as_map: bool)
     sep, parts = _segments(text, seps)
     quoted = F.concat(F.lit('"'), F.replace(sep, F.lit("\n"), F.lit("\\n")), F.lit('"'))
 
-    def coded(parts: Column, known: Column) -> Column:
-        ids = F.transform(parts, lambda x: F.concat(F.lit(ident), (F.array_position(known, x) - 1).cast("string")))
+    def coded(groups: Column, n: Column) -> Column:
+        ids = spread(groups, lambda g, k: F.concat(F.lit(ident), k.cast("string")))
+        known = F.transform(groups, lambda g: g["item"])
         shown = F.to_json(F.map_from_entries(F.transform(known, lambda x, i: F.struct(F.concat(F.lit(ident), i.cast("string")), x)))) if as_map else F.to_json(known)
         out = F.concat_ws("\n", F.lit(marker(name)), F.concat(F.lit("sep="), quoted), F.concat(F.lit("dict="), shown), F.concat(F.lit("seq="), F.array_join(ids, ",")))
-        return F.when(F.size(known) > F.size(parts) * 0.8, text).otherwise(out)
+        return F.when(F.size(known) > n * 0.8, text).otherwise(out)
 
-    return let(parts, lambda p: let(F.array_distinct(p), lambda known: coded(p, known)))
+    return let(parts, lambda p: let(tally(p), lambda groups: coded(groups, F.size(p))))
 
 
 def _unindexed(payload: Column, name: str, kind: str, pick) -> Column:
@@ -89,14 +88,36 @@ def chunk_store(text: Column) -> Column:
 
 
 def chunk_store_decode(payload: Column) -> Column:
-    return _unindexed(payload, "chunk_store", "map<string,string>", lambda known, i: F.try_element_at(known, i))
+    """Chunks are numbered in their order, so the map's values are an array."""
+
+    def joined(lines: Column, known: Column) -> Column:
+        sep = F.replace(F.regexp_extract(F.get(lines, F.lit(1)), '^sep="(.*)"$', 1), F.lit("\\n"), F.lit("\n"))
+        ids = F.transform(F.split(F.substring(F.get(lines, F.lit(3)), 5, 1 << 30), ","), lambda i: F.substring(i, 2, 20).try_cast("int"))
+        return F.concat_ws("", F.transform(ids, lambda i, k: F.concat(F.when(k > 0, sep).otherwise(""), F.get(known, i))))
+
+    known = lambda lines: F.map_values(F.from_json(F.substring(F.get(lines, F.lit(2)), 6, 1 << 30), "map<string,string>"))
+    out = let(F.split(payload, "\n", -1), lambda lines: let(known(lines), lambda k: joined(lines, k)))
+    return F.when(payload.startswith(marker("chunk_store")), out).otherwise(payload)
 
 
 def dedupe(text: Column) -> Column:
     """Paragraphs by digest: &sha=text at first, *sha from then on."""
-    chunks = F.filter(F.transform(F.split(text, r"\n\s*\n", -1), F.trim), lambda c: c != "")
-    row = lambda cs: F.transform(cs, lambda c, i: F.when(F.array_position(cs, c) == i + 1, F.concat(F.lit("&"), sha16(c), F.lit("="), c)).otherwise(F.concat(F.lit("*"), sha16(c))))
-    return F.array_join(F.concat(F.array(F.lit(marker("dedupe")), F.lit("@chunks")), let(chunks, row)), "\n")
+    first = lambda g: F.transform(g["at"], lambda a: F.struct(a.alias("at"), F.when(a == g["first"], F.concat(F.lit("&"), sha16(g["item"]), F.lit("="), g["item"])).otherwise(F.concat(F.lit("*"), sha16(g["item"]))).alias("v")))
+    rows = F.transform(F.array_sort(F.flatten(F.transform(tally(paragraphs(text)), first))), lambda x: x["v"])
+    return F.array_join(F.concat(F.array(F.lit(marker("dedupe")), F.lit("@chunks")), rows), "\n")
+
+
+def dedupe_decode(payload: Column) -> Column:
+    """The chunks between blank lines, where each is one line; of chunks of several lines only the first line comes back."""
+    entry = lambda x, i: F.when(x.startswith("&") | x.startswith("*"), F.struct(F.substring(x, 2, 16).alias("sha"), i.alias("at"), F.when(x.startswith("&"), F.substring(x, 19, 1 << 30)).alias("text")))
+
+    def joined(s: Column) -> Column:
+        whole = lambda r: F.transform(F.slice(s, r["begin"] + 1, r["n"]), lambda x: F.struct(x["at"].alias("at"), F.get(s, r["begin"])["text"].alias("text")))
+        return F.array_join(F.transform(F.array_sort(F.flatten(F.transform(runs(s, lambda x: x["sha"]), whole))), lambda x: x["text"]), "\n\n")
+
+    lines = F.split(payload, "\n", -1)
+    rows = F.filter(F.transform(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), entry), lambda x: x.isNotNull())
+    return F.when(payload.startswith(marker("dedupe")), let(F.array_sort(rows), joined)).otherwise(payload)
 
 
 def sidecar_ref(text: Column) -> Column:
