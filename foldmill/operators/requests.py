@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from foldmill.operators.gateway import SOURCES
-
+#: Roles whose text is a target; all others are left alone.
+SOURCES = {"user": "user_text", "tool": "tool_result", "developer": "developer_text"}
 #: A text that holds this is encoded already.
 MARK = "<foldmill:"
 _STEP = re.compile(r"([A-Za-z_]+)|\[(\d+)\]")
@@ -110,7 +110,7 @@ def _put(body: dict, path: str, text: str) -> None:
 
 
 @F.pandas_udf(StringType())
-def _patched(bodies: pd.Series, changes: pd.Series) -> pd.Series:
+def patched(bodies: pd.Series, changes: pd.Series) -> pd.Series:
     def one(body, own):
         found = _read(body)
         if found is None or own is None or not len(own):
@@ -122,10 +122,43 @@ def _patched(bodies: pd.Series, changes: pd.Series) -> pd.Series:
     return pd.Series([one(b, c) for b, c in zip(bodies, changes)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def unwrapped(payloads: pd.Series) -> pd.Series:
+    """The request of an envelope (an object under request or body), or the payload itself."""
+
+    def one(raw):
+        found = _read(raw)
+        inner = next((found[k] for k in ("request", "body") if isinstance(found.get(k), dict)), None) if found else None
+        return raw if inner is None else _write(inner)
+
+    return payloads.map(one, na_action="ignore")
+
+
+def shaped(body: Column, hint: str, first: bool = False, effort: bool = False) -> Column:
+    """``body`` with a hint on the length of answers in its system part and, with ``effort``, low reasoning effort where it names one."""
+
+    @F.pandas_udf(StringType())
+    def lowered(bodies: pd.Series) -> pd.Series:
+        def one(raw):
+            found = _read(raw)
+            if found is None or not ("reasoning_effort" in found or isinstance(found.get("reasoning"), dict)):
+                return raw
+            if "reasoning_effort" in found:
+                found["reasoning_effort"] = "low"
+            else:
+                found["reasoning"]["effort"] = "low"
+            return _write(found)
+
+        return bodies.map(one, na_action="ignore")
+
+    out = with_instruction(body, hint, first)
+    return lowered(out) if effort else out
+
+
 def write_back(requests: DataFrame, changes: DataFrame) -> DataFrame:
     """``requests`` with the texts of ``changes`` (request_id, path, text) put into their bodies; one shuffle by request_id."""
     own = changes.groupBy("request_id").agg(F.collect_list(F.struct("path", "text")).alias("_changes"))
-    return requests.join(own, "request_id", "left").withColumn("body", _patched("body", "_changes")).select(*requests.columns)
+    return requests.join(own, "request_id", "left").withColumn("body", patched("body", "_changes")).select(*requests.columns)
 
 
 def _joined(old: str, new: str, first: bool) -> str:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from foldmill.operators import requests as rq
 from foldmill.plans.requests import QUERIES, SQL
-from foldmill.streaming.requests import counters, rewrite_stream
+from foldmill.operators.phrases import session_delta_decode
+from foldmill.streaming import requests as st
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,12 +67,31 @@ def test_embedded_json(spark):
 
 def test_stream_writes_each_original_once(spark, tmp_path):
     text = "line of the log\n" * 60
-    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text), (2, 0, "tool", text + "x"), (3, 0, "user", "short")], "conv_id long, turn long, role string, text string")
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text), (2, 0, "tool", text + "x"), (3, 0, "user", "short"), (4, 0, "user", "api_key=" + "abcdefghijklmnopqrstuvwxyz " + text)], "conv_id long, turn long, role string, text string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
     for _ in range(2):
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-        rewrite_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+        st.rewrite_stream(stream, out, str(tmp_path / "cp"), once=True).awaitTermination()
+        st.counter_stream(spark, out, str(tmp_path / "cp2"), once=True).awaitTermination()
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert spark.read.parquet(str(tmp_path / "out/store")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "out/rewrites")).count() == 4
-    assert counters(spark, str(tmp_path / "out")).where("kind is null and class is null and reason is null").first()["n"] == 4
+    store = spark.read.schema(st.STORE).parquet(f"{out}/store")
+    assert store.count() == 2 and {x["prefix"] for x in store.collect()} == {x["digest"][:2] for x in store.collect()}
+    written = spark.read.schema(st.REWRITES).parquet(f"{out}/rewrites").collect()
+    assert len(written) == 6 and sum(x["blocked"] for x in written) == 2 and not any("abcdefghijkl" in str(x) for x in [*written, *store.collect()])
+    assert st.counters(spark, out).where("kind is null and class is null and reason is null").agg(F.max("n")).first()[0] == 6
+    assert spark.read.parquet(f"{out}/counters").agg(F.sum("n")).first()[0] == 6
+    found = st.lookup(spark, f"{out}/store", spark.createDataFrame([(written[0]["digest"] or "x",), ("missing",)], "digest string")).collect()
+    assert {x["text"] is None for x in found if x["digest"] == "missing"} == {True}
+
+
+def test_stream_of_differences(spark, tmp_path):
+    schema = "conv_id long, turn long, text string"
+    spark.createDataFrame([(1, 1, "a\nc"), (1, 0, "a\nb"), (2, 0, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    for k in range(2):
+        stream = st.delta_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.foreachBatch(lambda b, _: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        spark.createDataFrame([(1, 2, "a\nd")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    by = {(x["conv_id"], x["turn"]): x["payload"] for x in got}
+    assert by[1, 0] is None and by[2, 0] is None and session_delta_decode("a\nb", by[1, 1]) == "a\nc" and session_delta_decode("a\nc", by[1, 2]) == "a\nd"
