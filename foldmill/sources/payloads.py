@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text (null where the bytes aren't UTF-8), raw, kind (json, text or binary) of every file below ``path``."""
+    """path, text (null where the bytes aren't UTF-8), raw, kind (json where a .json file holds JSON, else text, or binary), is_json (an object or list that parses, in any text) of every file below ``path``, by path."""
     df = spark.read.format("binaryFile").load(path)
     ok = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(ok, F.decode("content", F.lit("UTF-8")))
-    kind = F.when(~ok, "binary").when(F.col("path").endswith(".json"), "json").otherwise("text")
-    return df.select("path", text.alias("text"), F.col("content").alias("raw"), kind.alias("kind"))
+    text = F.when(ok, F.decode(F.col("content"), "UTF-8"))
+    parses = F.coalesce(is_json(text), F.lit(False))
+    kind = F.when(~ok, "binary").when(F.col("path").endswith(".json") & parses, "json").otherwise("text")
+    return df.select("path", text.alias("text"), F.col("content").alias("raw"), kind.alias("kind"), parses.alias("is_json")).orderBy("path")
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is a JSON object or list."""
+    return is_json_like(text) & F.try_parse_json(text).isNotNull()
 
 
 def is_json_like(text: Column) -> Column:
