@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldmill.functions import security
 from foldmill.functions.detect import TEXT, TOKEN, detect
-from foldmill.functions.text import cost, est_tokens, preview, sha16, split_lines
+from foldmill.functions.text import STOP_WORDS, cost, est_tokens, preview, sha16, split_lines
 from foldmill.operators import analytical as an
 from foldmill.operators import dictionary as di
 from foldmill.operators import engine
@@ -72,7 +72,7 @@ _DETECT = {
     "html_visible": r"regexp_matches(text, '(?i)<html|<body|<div|<table|<a\s')",
     "chunk_store": "length(text) >= 1200 AND (contains(text, chr(10) || chr(10)) OR length(text) - length(replace(text, chr(10), '')) >= 20)",
     "separator_segments": "length(text) >= 500 AND (contains(text, chr(10) || chr(10)) OR contains(text, '---' || chr(10)) OR length(text) - length(replace(text, chr(10), '')) >= 20)",
-    "log_templates": "len(string_split(text, chr(10))) >= 8", "atom_dict": "length(text) >= 500", "meta_tokens": "length(text) >= 700",
+    "log_templates": "len(string_split(text, chr(10))) >= 8", "meta_tokens": "length(text) >= 700",
     "pattern_hash": "contains(text, chr(10))", "transport_deflate": "length(text) >= 600",
     "extractive": r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 500",
     "xml_path": r"regexp_matches(text, '^\s*<') AND ends_with(text, '>')",
@@ -253,21 +253,20 @@ def html_links(spark, sf):
     return src.table(spark, sf, "pages").select(F.col("page_id").alias("payload_id"), F.posexplode(found).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
 
 
-#: Words left out of word counts.
-STOP = "that this with from have will your into about there their which when"
-
-
 @query(f"""SELECT word, n FROM (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS k FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]+')) AS word FROM documents)
-  WHERE length(word) > 3 AND word NOT IN ({", ".join(f"'{w}'" for w in STOP.split())}) GROUP BY word) WHERE k <= 100""")
+  WHERE length(word) > 3 AND word NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY word) WHERE k <= 100""")
 def word_frequency_topk(spark, sf):
     """The 100 most frequent words: a top-k report over all documents."""
     words = src.documents(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9_-]+"), F.lit(0))).alias("word"))
-    return words.where((F.length("word") > 3) & ~F.col("word").isin(STOP.split())).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100)
+    return words.where((F.length("word") > 3) & ~F.col("word").isin(STOP_WORDS)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100)
+
+
+_SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-@query("SELECT doc_id AS payload_id, CAST(len(regexp_extract_all(text, '\\s+|[A-Za-z0-9_./:@=-]+|[^\\w\\s]')) AS BIGINT) AS tokens FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(rf"SELECT doc_id AS payload_id, CAST(len(regexp_extract_all(text, '[{_SPACE}]+|[A-Za-z0-9_./:@=-]+|[^\pL\p{{Mn}}\p{{Me}}\p{{Mc}}\p{{Nd}}\p{{Nl}}\p{{Pc}}{_SPACE}]')) AS BIGINT) AS tokens FROM documents")
 def token_counts(spark, sf):
-    return src.documents(spark, sf).where(~T().rlike(r"[^\x00-\x7F]")).select("payload_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"))
+    return src.documents(spark, sf).select("payload_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"))
 
 
 @query("""SELECT o_custkey AS payload_id, key, count(DISTINCT value) AS n_distinct, count(DISTINCT value) = 1 AS constant, count(DISTINCT value) <= least(64, greatest(2, count(*) // 2)) AS enum FROM

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldmill.functions.detect import TEXT
+from foldmill.operators import engine
 from foldmill.operators import phrases as ph
 from foldmill.operators import summaries as su
 from foldmill.operators import trees as tr
@@ -100,8 +102,8 @@ def _trees(kinds: tuple[str, ...], view):
     """Of each payload and encoding that takes it: characters of both, whether it reads back."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        made = view(spark, sf).select("payload_id", "text", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), tr.encoded(k, T()).alias("payload"), tr.verified(k, T(), tr.encoded(k, T())).alias("round_trip")) for k in kinds))).alias("c"))
-        return made.where("c.payload is not null").select("payload_id", "c.kind", F.length("text").alias("raw_chars"), F.length("c.payload").alias("chars"), "c.round_trip")
+        made = engine.candidates(view(spark, sf).select("payload_id", "text"), names=list(kinds))
+        return made.select("payload_id", "kind", F.length("text").alias("raw_chars"), F.length("payload").alias("chars"), "round_trip")
 
     return run
 
@@ -122,20 +124,20 @@ def _summary(kind: str, view, skip: int):
     """Lines of the summary behind its head: payload_id, line."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        made = view(spark, sf).select("payload_id", F.split(su.encoded(kind, T()), "\n").alias("x"))
+        made = view(spark, sf).select("payload_id", F.split(getattr(su, kind)(T()), "\n").alias("x"))
         return made.select("payload_id", F.explode(F.slice("x", skip + 1, F.size("x"))).alias("line"))
 
     return run
 
 
-_add("terraform_actions", _summary("terraform_plan", plans, 3), "SELECT p_brand AS payload_id, CASE p_size % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'delete,create' ELSE 'update' END || ' part.' || p_partkey || ' type=part' AS line FROM part")
+_add("terraform_actions", _summary("terraform_plan", plans, 3), "SELECT p_brand AS payload_id, CASE p_size % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'delete+create' ELSE 'update' END || ' part.' || p_partkey || ' type=part' AS line FROM part")
 _add("k8s_resources", _summary("k8s_yaml", manifests, 3), "SELECT CAST(s_nationkey AS BIGINT) AS payload_id, 'Deployment n-' || s_nationkey || '/s-' || s_suppkey || ' images=supplier:' || s_suppkey AS line FROM supplier")
 _add("openapi_operations", _summary("openapi", api, 1), """SELECT CAST(n_regionkey AS BIGINT) AS payload_id, 'GET /nations/' || n_nationkey || ' id=read_' || n_nationkey || ' tags=nation res=200' AS line FROM nation
   UNION ALL SELECT DISTINCT CAST(n_regionkey AS BIGINT), unnest(['title=nations', '@operations', '@schemas', '']) FROM nation""")
 
 
 def log_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = src.logs(spark, sf).select("payload_id", F.split(su.encoded("log_summary", T()), "\n").alias("x"))
+    out = src.logs(spark, sf).select("payload_id", F.split(su.log_summary(T()), "\n").alias("x"))
     return out.select("payload_id", F.regexp_extract(F.get("x", F.lit(1)), r"lines=(\d+)", 1).cast("long").alias("n_lines"), F.size(F.filter("x", lambda l: l.rlike(r"^\d+x "))).cast("long").alias("n_templates"))
 
 
@@ -143,23 +145,24 @@ _add("log_summary", log_summary)
 
 
 def extractive(spark: SparkSession, sf: str) -> DataFrame:
-    return src.documents(spark, sf).select("payload_id", su.encoded("extractive", T()).alias("payload")).where("payload is not null")
+    return src.documents(spark, sf).where(TEXT["extractive"](T())).select("payload_id", su.extractive(T()).alias("payload"))
 
 
 _add("extractive", extractive)
 
 
-def _texts_back(module, kind: str, view=src.documents):
+def _texts_back(kind: str):
+    """Every document through an encoding and back; those that it gives up stay as they are."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        made = view(spark, sf).select("payload_id", "text", module.encoded(kind, T()).alias("payload")).where("payload is not null")
-        return made.select("payload_id", F.length("text").cast("long").alias("raw_chars"), F.length("payload").cast("long").alias("chars"), (module.decoded(kind, P()) == T()).alias("round_trip"))
+        back = F.coalesce(ph.decoded(kind, ph.encoded(kind, T())), T())
+        return src.documents(spark, sf).where("text is not null").select("payload_id", F.sha2(back, 256).alias("sha"))
 
     return run
 
 
 for _k in ("meta_tokens", "token_lz", "grammar", "domain_table"):
-    _add(f"{_k}_roundtrip", _texts_back(ph, _k))
-_add("log_templates_roundtrip", _texts_back(su, "log_templates", src.logs))
+    _add(f"{_k}_roundtrip", _texts_back(_k), "SELECT doc_id AS payload_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL")
 
 
 def transport_deflate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

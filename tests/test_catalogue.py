@@ -5,9 +5,10 @@ import os
 import duckdb
 import pytest
 
-from foldmill.plans.catalogue import QUERIES, SQL
+from foldmill.plans import catalogue, encodings
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = {**catalogue.QUERIES, **encodings.QUERIES}, {**catalogue.SQL, **encodings.SQL}
 
 
 @pytest.fixture(scope="module")
