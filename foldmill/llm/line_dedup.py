@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldmill.llm._shared import own_names, saved, table
+from foldmill.llm._shared import own_names, saved, spread_join, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 _KEY = ["d", "k1", "k2"]
@@ -92,8 +92,9 @@ def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
     left, right = side(F.col("first") + 1, F.col("at") - F.col("first")), side(F.col("at") + 2, F.col("last") - F.col("at"))
     extended = saved(matched.select(*_KEY, "first", "last", "m1", "m2", left.alias("left"), right.alias("right")), "line-matches", (windows,))
     content, place = ["m1", "m2", "left", "right"], F.struct(*_KEY, "first")
-    earliest = extended.groupBy(*content).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first_place")).where("n > 1").drop("n")
-    later = extended.join(earliest, content).where(place != F.col("first_place")).select(*_KEY, "first", "last").distinct()
+    earliest = extended.groupBy(*content).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first_place")).where("n > 1")
+    # A passage that very many documents share is dealt over all tasks.
+    later = spread_join(extended, saved(earliest, "line-first"), content, "n").where(place != F.col("first_place")).select(*_KEY, "first", "last").distinct()
     doc = Window.partitionBy(*_KEY)
     so_far = F.max("last").over(doc.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(F.coalesce(F.col("first") > so_far + 1, F.lit(True)), 1).otherwise(0))

@@ -1,24 +1,25 @@
 """Secret scans by character Markov models, in DataFrame functions only.
 
-Fixed patterns give the base spans (assign, access, hex). Besides, every long
-run of token characters, with digits or not, is scored outside the base spans: the
+Fixed patterns give the base spans (assign, access, hex). Besides, every run of 8
+or more token characters, with digits or not, is scored outside the base spans: the
 log-likelihood of its character pairs under a model of random strings, less that
-under a model of ordinary identifiers, less a margin for each pair. Every segment
-of 20 or more characters whose sum is over 0 lies, at least in part, in a span of
-kind ``markov``, whatever stands before or behind it in the run: a segment begins
-where such a sum is first found, ends at the sum's peak, loses the start that
-lowers it, and grows to the next separator on both sides (past pieces of up to four
-characters), so that a secret's ends aren't cut off; another one begins behind it.
-Repetitions of very few characters (separator lines) are none. Both models are counts of
+under a model of ordinary identifiers, less a margin for each pair. A segment whose
+sum is over the evidence that its length asks for (more of short ones, none from 20
+characters on) is a span of kind ``markov``, whatever stands before or behind it in the run: it begins where the running sum was least, ends at
+the sum's peak, and grows to the next separator on both sides (past pieces of up to
+four characters), so that a secret's ends aren't cut off; another one begins behind
+it. So short segments need a higher ratio for each pair than long ones. Repetitions
+of very few characters (separator lines) are none. Both models are counts of
 character pairs in labelled samples; pairs seen little or never fall back on how
 often their second character occurs (counts with one added), so that a small
 sample tells digits and capitals from ordinary letters, too. Only the logs, one
 for each pair of a fixed alphabet, come to the driver.
 
 Results by case: null text counts as empty and has no spans; repeated rows give
-repeated results; offsets are code points, end exclusive, over the whole text;
-with an empty sample of either kind that model is uniform. Other columns of the
-input are ignored.
+repeated results; offsets are code points, end exclusive, over the whole text,
+however long; of segments that overlap after growing one span is made; with an
+empty sample of either kind that model is uniform; an empty table gives no rows.
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +38,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_=-]{20,}+"
 _BLOCK = 128
-#: Character pairs of the shortest segment that is scored.
-PAIRS = 19
+#: How often an ordinary name is in capitals, to one that isn't.
+CAPITALS = 0.1
+#: What a segment must give, in nats: for each pair, and besides, less a share for each pair until there are LONG.
+MARGIN, EVIDENCE, LONG = 0.35, 14.0, 19
+#: Characters of the shortest run that is scored: the pairs of shorter ones can't give the evidence asked for, or only where all of them are rare.
+SHORTEST = 8
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 #: Different characters of a span, at least: separator lines have fewer, a random string of 20 digits has fewer once in 500,000.
 DISTINCT = 5
 
@@ -73,7 +78,7 @@ def placed(kinds: list[str]) -> dict[str, Column]:
 
 
 def pair_logs(samples: DataFrame) -> tuple[list[float], list[float]]:
-    """Log-probabilities of each next character given the one before, row by row of ALPHABET, for label 1 and label 0 of ``samples`` (s, label)."""
+    """Log-probabilities of each next character given the one before, row by row of ALPHABET, for label 1 and label 0 of ``samples`` (s, label); those of label 0 hold for names in capitals, too."""
     k = len(ALPHABET)
     s = F.col("s").cast("string")
     pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))).alias("p"))
@@ -83,6 +88,12 @@ def pair_logs(samples: DataFrame) -> tuple[list[float], list[float]]:
     rows = counts.collect()  # at most 2 * len(ALPHABET) ** 2
     for label in (1, 0):
         n = {(r["a"] - 1, r["b"] - 1): r["count"] for r in rows if r["label"] == label}
+        if label == 0:  # ordinary names are written in capitals now and then, too
+            capital = lambda i: ALPHABET.index(ALPHABET[i].upper())
+            for (i, j), c in list(n.items()):
+                at = capital(i), capital(j)
+                if at != (i, j) and not (ALPHABET[i].isupper() or ALPHABET[j].isupper()):
+                    n[at] = n.get(at, 0) + CAPITALS * c
         totals = [sum(n.get((i, j), 0) for j in range(k)) for i in range(k)]
         into = [sum(n.get((i, j), 0) for i in range(k)) + 1 for j in range(k)]
         share = [x / sum(into) for x in into]
@@ -107,40 +118,39 @@ def pieces(found: str, base: str) -> Column:
     hit = f"filter({base}, y -> y.start < x.end and x.start < y.end)"
     begins = f"array_distinct(concat(array(x.start), {hit}.end))"
     end = f"array_min(concat(array(x.end), filter({hit}.start, e -> e >= b)))"
-    left = f"filter(transform({begins}, b -> struct(b as start, {end} as end)), z -> z.end - z.start > {PAIRS} and not exists({base}, y -> y.start <= z.start and z.start < y.end))"
+    left = f"filter(transform({begins}, b -> struct(b as start, {end} as end)), z -> z.end - z.start >= {SHORTEST} and not exists({base}, y -> y.start <= z.start and z.start < y.end))"
     cut = f"transform({left}, z -> struct(z.start as start, z.end as end, substring(x.s, z.start - x.start + 1, z.end - z.start) as s))"
     whole = "array(struct(x.start as start, x.end as end, x.s as s))"
     return F.expr(f"flatten(transform({found}, x -> if(exists({base}, y -> y.start < x.end and x.start < y.end), {cut}, {whole})))")
 
 
-def segments(v: str) -> str:
-    """SQL: the segments of the pairs' values ``v`` as structs b, o, e (first pair, pair at which the sum was first over 0, last pair).
+def segments(v: str, evidence: float) -> str:
+    """SQL: the segments of the pairs' values ``v`` as structs b, e (first and last pair), apart and in order.
 
-    State: w, sum of the last PAIRS values; h, m, the open segment's peak and its
-    sum so far; n, b, the best segment behind the last peak that is long enough.
+    A sum over n pairs must be over ``evidence``, less a share n / LONG of it, so over
+    0 from LONG pairs on. State: s, the sum since b, where the sum was least; h, its
+    peak so far, once it is enough (then the segment is open), at e; n, the best sum
+    of pairs behind the peak, since c. A segment ends at its peak when the sum has
+    fallen by ``evidence`` below it, or when the pairs behind it are enough themselves.
     """
-    none = "double(-1e300)"
-    start = f"named_struct('w', double(0), 'h', double(0), 'm', {none}, 'n', {none}, 'b', 0, 'e', -1, 'out', cast(array() as array<struct<b: int, o: int, e: int>>))"
+    need = lambda begin: f"{evidence!r}D * greatest(0D, 1D - (j - {begin} + 1) / {LONG}D)"
+    start = "named_struct('s', double(0), 'b', 0, 'h', double(-1), 'e', -1, 'n', double(0), 'c', 0, 'out', cast(array() as array<struct<b: int, e: int>>))"
     # First what depends on the state alone, as a struct x, then the new state.
-    step = f"named_struct('w', a.w + get({v}, j) - if(j >= {PAIRS}, get({v}, j - {PAIRS}), 0), 'm', a.m + get({v}, j), 'n', a.n + get({v}, j))"
-    fresh = f"j - {PAIRS - 1} > a.e and x.w > x.n"
-    n, b = f"if({fresh}, x.w, x.n)", f"if({fresh}, j - {PAIRS - 1}, a.b)"
-    # The last segment's end is set when it is closed (or at the end), so that a long one isn't rewritten at each pair.
-    longer = f"named_struct('w', x.w, 'h', x.m, 'm', x.m, 'n', {none}, 'b', 0, 'e', j, 'out', a.out)"
-    closed = "if(size(a.out) = 0, a.out, concat(slice(a.out, 1, size(a.out) - 1), array(named_struct('b', element_at(a.out, -1).b, 'o', element_at(a.out, -1).o, 'e', a.e))))"
-    opened = f"named_struct('w', x.w, 'h', {n}, 'm', {n}, 'n', {none}, 'b', 0, 'e', j, 'out', array_append({closed}, named_struct('b', {b}, 'o', j, 'e', j)))"
-    same = f"named_struct('w', x.w, 'h', a.h, 'm', x.m, 'n', {n}, 'b', {b}, 'e', a.e, 'out', a.out)"
-    new = f"get(transform(array({step}), x -> if(x.m > a.h, {longer}, if({n} > 0, {opened}, {same}))), 0)"
-    return f"aggregate(sequence(0, size({v}) - 1), {start}, (a, j) -> {new}, a -> {closed})"
-
-
-def trimmed(v: str, k: str) -> str:
-    """SQL: the first pair of segment ``k`` without the start that lowers its sum; no segment found earlier ends in that start."""
-    low = f"if(a.s + get({v}, j) < a.low, named_struct('s', a.s + get({v}, j), 'low', a.s + get({v}, j), 'b', j + 1), named_struct('s', a.s + get({v}, j), 'low', a.low, 'b', a.b))"
-    return f"aggregate(slice(sequence({k}.b, {k}.o), 1, greatest(0, least({k}.o, {k}.e - {PAIRS - 1}) - {k}.b)), named_struct('s', double(0), 'low', double(0), 'b', {k}.b), (a, j) -> {low}, a -> a.b)"
-
-
-def favoured(found: str, ratio: str, margin: float) -> Column:
+    step = f"named_struct('s', a.s + get({v}, j), 'n', greatest(double(0), a.n + get({v}, j)), 'c', if(a.n + get({v}, j) <= 0, j + 1, a.c))"
+    closed = "array_append(a.out, named_struct('b', a.b, 'e', a.e))"
+    state = lambda s, b, h, e, n, c, out: f"named_struct('s', {s}, 'b', {b}, 'h', {h}, 'e', {e}, 'n', {n}, 'c', {c}, 'out', {out})"
+    none = "double(-1)"
+    higher = state("x.s", "a.b", "x.s", "j", "double(0)", "j + 1", "a.out")
+    again = state("x.n", "x.c", f"if(x.n > {need('x.c')}, x.n, {none})", f"if(x.n > {need('x.c')}, j, -1)", "x.n", "x.c", closed)
+    same = state("x.s", "a.b", "a.h", "a.e", "x.n", "x.c", "a.out")
+    lower = state("double(0)", "j + 1", none, "-1", "double(0)", "j + 1", "a.out")
+    while_open = f"if(x.s > a.h, {higher}, if(x.s < a.h - {evidence!r}D or (x.n > 0 and x.n > {need('x.c')}), {again}, {same}))"
+    while_shut = f"if(x.s <= 0, {lower}, if(x.s > {need('a.b')}, {higher}, {same}))"
+    new = f"get(transform(array({step}), x -> if(a.h > 0, {while_open}, {while_shut})), 0)"
+    return f"aggregate(sequence(0, size({v}) - 1), {start}, (a, j) -> {new}, a -> if(a.h > 0, {closed}, a.out))"
+
+
+def favoured(found: str, ratio: str, margin: float, evidence: float) -> Column:
     """Spans of the segments that the ratio favours in each of ``found`` (start, s)."""
     k = len(ALPHABET)
     index = f"transform(split(x.s, ''), c -> instr('{ALPHABET}', c) - 1)"
@@ -152,17 +162,17 @@ def favoured(found: str, ratio: str, margin: float) -> Column:
     back = f"length(regexp_extract(reverse(substring(x.s, 1, q.b)), concat({word('substring(x.s, q.b + 1, 1)')}, '(?:[+/_-]{short})*+'), 0))"
     on = f"length(regexp_extract(substring(x.s, q.e + 1), concat({word('substring(x.s, q.e, 1)')}, '(?:[+/_-]{short})*+(?:={{1,2}}$)?'), 0))"
     grown = f"named_struct('b', if(substring(x.s, q.b + 1, 1) = '=', q.b + 1, q.b - {back}), 'e', q.e + {on})"
-    cut = f"transform({segments('v')}, g -> named_struct('b', {trimmed('v', 'g')}, 'e', g.e + 2))"
+    cut = f"transform({segments('v', evidence)}, g -> named_struct('b', g.b, 'e', g.e + 2))"
     merged = "aggregate(g, cast(array() as array<struct<b: int, e: int>>), (a, y) -> if(size(a) > 0 and y.b < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('b', element_at(a, -1).b, 'e', greatest(y.e, element_at(a, -1).e)))), array_append(a, y)))"
     let = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
     spans = f"transform({merged}, y -> named_struct('start', x.start + y.b, 'end', x.start + y.e, 'kind', 'markov', 's', substring(x.s, y.b + 1, y.e - y.b)))"
-    spans = f"filter({spans}, y -> size(array_distinct(split(y.s, ''))) >= {DISTINCT})"
+    spans = f"filter({spans}, y -> y.end - y.start >= {SHORTEST} and size(array_distinct(split(y.s, ''))) >= {DISTINCT})"
     whole = let(index, "i", let(values, "v", let(f"transform({cut}, q -> {grown})", "g", spans)))
     return F.expr(f"flatten(transform({found}, x -> {whole}))")
 
 
-def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = 0.35) -> DataFrame:
-    """doc_id and spans (array of start, end, kind, s, in order) for every row of ``docs``; ``margin`` is the log-likelihood ratio a character pair of a segment must give on average."""
+def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
+    """doc_id, base and spans (arrays of start, end, kind, s, in order) for every row of ``docs``. A segment's log-likelihood ratio, less ``margin`` for each character pair, must be over what is left of ``evidence`` at its length: short ones need a higher ratio for each pair."""
     one, zero = pair_logs(samples)
     ratio = F.array(*(F.lit(float(a - b)) for a, b in zip(one, zero)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -178,7 +188,7 @@ def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = 0.35) -> D
     out = out.withColumn("base", F.concat("p_assign", "p_access", "p_hex"))
     # The table of ratios rides along as a column once, not once for each lookup.
     out = out.withColumn("p_markov", pieces("p_markov", "base"))
-    out = out.withColumn("ratio", F.when(F.size("p_markov") > 0, ratio)).withColumn("p_markov", favoured("p_markov", "ratio", margin))
+    out = out.withColumn("ratio", F.when(F.size("p_markov") > 0, ratio)).withColumn("p_markov", favoured("p_markov", "ratio", margin, evidence))
     return out.select("doc_id", _sorted(F.col("base")).alias("base"), _sorted(F.concat("base", "p_markov")).alias("spans"))
 
 

@@ -121,6 +121,26 @@ def test_secrets_without_digits(spark):
     assert all(got[50 + i] == [] for i in range(len(plain))), got
 
 
+def test_secrets_recall_and_false_positives_held_out(spark):
+    """Random strings of 10 characters and more, in three surroundings, and the words of documents that the samples haven't seen."""
+    r, sf = random.Random(11), "/root/testdata/sf0.001"
+    samples = secrets.default_samples(spark, spark.read.parquet(f"{sf}/benchmark.parquet"))
+    rows = []
+    for n in (10, 12, 16, 24, 32):
+        for form in ("say {} now", "session_credential={} x", "/documents/shared/{}/x"):
+            for _ in range(40):
+                x = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+                rows.append((len(rows), form.format(x), n, x))
+    got = {x["doc_id"]: [s["s"] for s in x["spans"]] for x in secrets.scan_secrets(docs(spark, [(i, t, "") for i, t, _, _ in rows]), samples).collect()}
+    found = defaultdict(list)
+    for i, _, n, x in rows:
+        found[n].append(any(x in s for s in got[i]))
+    assert all(np.mean(v) >= 0.9 for v in found.values()) and np.mean(found[24] + found[32]) >= 0.99, {n: np.mean(v) for n, v in found.items()}
+    words = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(secrets.CANDIDATE), F.lit(0))).alias("w")).distinct()
+    spans = secrets.scan_secrets(words.select(F.monotonically_increasing_id().alias("doc_id"), F.col("w").alias("text")), samples).where("exists(spans, s -> s.kind = 'markov')").count()
+    assert words.count() > 2000 and spans <= 0.005 * words.count(), (spans, words.count())
+
+
 def brute_components(rows):
     sets = []
     for _, t, _ in rows:
