@@ -79,16 +79,22 @@ def _remove() -> None:
             return
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], size: str, most: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``keyed``, which has one row a key and, as ``size``, the key's number of rows.
 
     Keys with more than a share 1 / ``most`` of all rows, fewer than ``most`` by
     count, are broadcast, so that no task gets all rows of a hot key; the others are dealt by key.
     """
     total = keyed.agg(F.sum(size)).first()[0] or 0
-    hot = F.broadcast(keyed.where(F.col(size) * most > total))
-    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(size) * most <= total), key)
-    return rest.unionByName(rows.join(hot, key))
+    is_hot = F.col(size) * most > total
+    if keyed.where(is_hot).isEmpty():
+        return rows.join(keyed, key)
+    if isinstance(key, str):
+        hot = F.col(key).isin([r[0] for r in keyed.where(is_hot).select(key).collect()])
+        rest = rows.where(~hot)
+    else:
+        rest = rows.join(F.broadcast(keyed.where(is_hot).select(*key)), key, "left_anti")
+    return rest.join(keyed.where(~is_hot), key).unionByName(rows.join(F.broadcast(keyed.where(is_hot)), key))
 
 
 def own_names(df: DataFrame, *wanted: str) -> list[str]:
@@ -105,7 +111,7 @@ def own_names(df: DataFrame, *wanted: str) -> list[str]:
 class WordHashes(dict):
     """64-bit xxh3 of words (bytes), kept for the words seen lately; the memo is emptied when it is full, so memory is bounded."""
 
-    most = 1_000_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -47,14 +47,14 @@ from pyspark.sql import functions as F
 from foldmill.llm._shared import WordHashes, as_bytes, conf_int, release, saved, shingles, spread_join, table
 from foldmill.llm.decontaminate import BLOOM_BITS, Bloom
 
-BLOCK_NGRAMS = 2_000_000
+BLOCK_NGRAMS = 1_000_000
 BLOCK_DOCS = 60_000
 #: Fragments that a pair's overlap is counted in.
 PARTS = 4
 #: Pivots of a bucket, round by round, before what is left of it is settled.
 PIVOTS = [1, 2]
 #: N-grams of a chunk of a bucket, and its members.
-CHUNK, MEMBERS = 400_000, 512
+CHUNK, MEMBERS = 400_000, 256
 #: Bits of a fragment's number: so few at least, and so many at most (a fragment of 100 TB of text holds some million n-grams then).
 FRAGMENT_BITS = (4, 22)
 
@@ -101,25 +101,25 @@ def _hopeful(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 return
             block = (task << 20) + at
             at += 1
-            grams = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-            order = np.argsort(grams, kind="stable")
-            g, o = grams[order], owner[order]
+            sizes = np.array([len(s) for s in sets], np.uint32)
+            names = b"".join(fingerprint(s) for s in sets)
+            g, o = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+            sets, total = [], 0
+            order = np.argsort(g, kind="stable")
+            g, o = g[order], o[order]
             first = np.r_[True, g[1:] != g[:-1]]
             many = np.r_[~first[1:], False] | ~first  # found twice in this block: known to be shared without asking
-            shared = np.bincount(o[many], minlength=len(sets)).astype(np.uint32)
-            sizes = np.array([len(s) for s in sets], np.uint32)
-            head = np.concatenate([sizes, shared]).tobytes() + b"".join(fingerprint(s) for s in sets)
-            rows = [(-1 - block % (1 << bits), block, len(sets), head, b"")]
-            g, o, m = g[first], o[first], many[first]
-            fragment = (g >> np.uint64(64 - bits)).astype(np.int64)
+            shared = np.bincount(o[many], minlength=len(sizes)).astype(np.uint32)
+            rows = [(-1 - block % (1 << bits), block, len(sizes), np.concatenate([sizes, shared]).tobytes() + names, b"")]
+            g, o, many = g[first], o[first], many[first]
+            o[many] = 0xFFFF
+            fragment = (g >> np.uint64(64 - bits)).astype(np.int32)
             edge = np.r_[np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]]), len(g)]
             low = (g & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-            o = np.where(m, np.uint16(0xFFFF), o)
+            del order, first, many, g
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 by = np.argsort(o[a:b], kind="stable")
                 rows.append((int(fragment[a]), block, b - a, low[a:b][by].tobytes(), o[a:b][by].tobytes()))
-            sets, total = [], 0
             for i in range(0, len(rows), 256):
                 cols = list(zip(*rows[i : i + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["f", "block", "n", "a", "b"])
@@ -234,11 +234,17 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """token, cid, n, pos, lone (n-grams no other class has): places of shared n-grams in the prefix of the classes that can still reach the threshold; pos counts in the global order, rare first."""
     need = F.ceil(F.col("n") * percent / 100)
     grams = sets.select("cid", "n", F.explode("grams").alias("token"))
-    counts = saved(grams.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "ngram-counts")
-    shared = spread_join(grams, counts, "token", "c")
+    # N-grams that hold a thousandth of all places or more, so fewer than 1,000, take their count from a broadcast; all others count where they meet.
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    hot = grams.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") * 1000 > total)).collect()
+    is_hot = F.col("token").isin([r["token"] for r in hot])
+    shared = grams.where(~is_hot).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
+    if hot:
+        counts = F.broadcast(sets.sparkSession.createDataFrame(hot, "token long, c long"))
+        shared = shared.unionByName(grams.where(is_hot).join(counts, "token"))
     ranked = shared.select("cid", "n", "token", F.row_number().over(Window.partitionBy("cid").orderBy("c", "token")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("cid")).alias("m"))
     ranked = ranked.where(F.col("m") >= need).select("token", "cid", "n", (F.col("n") - F.col("m") + F.col("r") - 1).cast("int").alias("pos"), (F.col("n") - F.col("m")).cast("int").alias("lone"))
-    prefixes = saved(ranked.where(F.col("pos") <= F.col("n") - need), "ngram-prefixes", (counts,))
+    prefixes = saved(ranked.where(F.col("pos") <= F.col("n") - need), "ngram-prefixes")
     sizes = saved(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "ngram-sizes")
     return saved(spread_join(prefixes, sizes, "token", "size").drop("size"), "ngram-members", (prefixes, sizes))
 
