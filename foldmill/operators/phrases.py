@@ -29,6 +29,7 @@ from foldmill.operators.trees import dump
 TOKENS = re.compile(r"\s+|[A-Za-z0-9_./:@=-]+|[^\w\s]")
 PHRASE_TOKENS, PHRASE_CHARS, PHRASE_GAIN = range(3, 13), 12, 20
 RULES = 96
+CODE_LINE = re.compile(r"^\s*(def|class|import|from)\b", re.M)
 FACT_STARTS = ("apiVersion", "kind", "name:", "#", "<title", "<h1", "<h2")
 FACTS = 240
 
@@ -41,17 +42,39 @@ def _payload(name: str, *lines: str) -> str:
     return "\n".join([marker(name), *lines])
 
 
+def _repeats(text: str) -> dict[str, int]:
+    """Runs of tokens that occur three times or more (a rarer one never saves), with their numbers: a run is as rare as its beginning, so longer ones are looked for where shorter ones were found."""
+    spans = [m.span() for m in TOKENS.finditer(text)]
+    ids: dict[str, int] = {}
+    number = lambda s: ids.setdefault(s, len(ids))
+    code = np.array([number(text[a:b]) for a, b in spans], np.int64)
+    # A step is a token with what no token covers before it.
+    step = np.array([number(text[e:b]) for (_, e), (_, b) in zip([(0, 0), *spans], spans)], np.int64)
+    at, out = np.arange(len(spans)), {}
+    for n in range(1, PHRASE_TOKENS.stop):
+        if n > 1:
+            inside = at + n <= len(spans)
+            code, at = code[inside], at[inside]
+            code = code * len(ids) + step[at + n - 1]
+        _, first, code, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        if n in PHRASE_TOKENS:
+            for i in np.flatnonzero(count >= 3).tolist():
+                begin = int(at[first[i]])
+                out[text[spans[begin][0] : spans[begin + n - 1][1]]] = int(count[i])
+        often = count[code] >= 3
+        code, at = code[often], at[often]
+        if not len(at):
+            break
+    return out
+
+
 def _phrases(text: str, least: int, most: int) -> list[str]:
     """Repeated runs of tokens by what they save, none inside another."""
-    spans = [m.span() for m in TOKENS.finditer(text)]
-    gain: dict[str, int] = {}
-    for n in PHRASE_TOKENS:
-        runs = Counter(text[spans[i][0] : spans[i + n - 1][1]] for i in range(len(spans) - n + 1))
-        for phrase, count in runs.items():
-            if count >= least and len(phrase) >= PHRASE_CHARS:
-                saves = (count - 2) * cost(phrase) - count
-                if saves > PHRASE_GAIN:
-                    gain[phrase] = saves
+    gain = {}
+    for phrase, count in _repeats(text).items():
+        saves = (count - 2) * cost(phrase) - count
+        if count >= least and len(phrase) >= PHRASE_CHARS and saves > PHRASE_GAIN:
+            gain[phrase] = saves
     chosen: list[str] = []
     for phrase in sorted(gain, key=lambda p: (-gain[p], -len(p), p)):
         if len(chosen) == most:
@@ -159,6 +182,8 @@ def last_line_inflated(payload: str) -> str:
 
 def code_tokens(text: str) -> str | None:
     """Python tokens as rows of type, text, start, end and line; texts that repeat are atoms. Source with an atom's form itself is given up."""
+    if not CODE_LINE.search(text):
+        return None
     try:
         toks = list(tokenize.generate_tokens(io.StringIO(text).readline))
     except (tokenize.TokenError, SyntaxError):
