@@ -257,6 +257,49 @@ def test_quality_rules_base_is_brute_force_and_junk_goes(spark):
     assert all(field.viterbi(s) == [i % 2] * 5 for i, s in enumerate(seqs))
 
 
+def test_lasso_weights_are_those_of_a_slow_solver():
+    """The ensemble's objective at its weights, against plain proximal gradient steps on the same rules."""
+    r = np.random.default_rng(3)
+    x = r.random((300, len(quality_classifier.STATS)))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.3) | (r.random(300) < 0.1)).astype(float)
+    penalty = 0.01
+    model = quality_classifier.fit_rules(x, y, trees=5, penalty=penalty, steps=3000)
+    assert 0 < len(model.rules) < 40
+    m = np.stack([quality_classifier.matches(x, rule) for rule, _ in model.rules], 1).astype(float)
+    spread, mean = m.std(0), m.mean(0)
+    z = (m - mean) / spread
+
+    def objective(v, b):
+        t = z @ v + b
+        return (np.logaddexp(0, t) - y * t).mean() + penalty * np.abs(v).sum()
+
+    weights = np.array([w for _, w in model.rules]) * spread
+    bias = model.bias + (np.array([w for _, w in model.rules]) * mean).sum()
+    v, b = np.zeros(z.shape[1]), 0.0
+    step = 4 * len(y) / (np.linalg.norm(np.c_[z, np.ones(len(y))], 2) ** 2)
+    for _ in range(30_000):
+        err = (1 / (1 + np.exp(-(z @ v + b))) - y) / len(y)
+        v, b = v - step * (z.T @ err), b - step * err.sum()
+        v = np.sign(v) * np.maximum(np.abs(v) - step * penalty, 0)
+    assert abs(objective(weights, bias) - objective(v, b)) < 1e-4
+
+
+def test_line_field_learns_from_labelled_documents(spark):
+    """Lines of documents labelled bad are boilerplate; a field trained on some tells the lines of others, repeated ones or not."""
+    junk = lambda k: "\n".join(f"$$$ ### {k} x%% !!! {j}" for j in range(8))
+    good = lambda k: "\n".join(" ".join(words(9, 100 * k + j)) + "." for j in range(8))
+    rows = [(i, good(i) if i % 2 else junk(i), "") for i in range(120)]
+    own = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    field = quality_rules.train_field(docs(spark, rows), own, max_rows=60)
+    mixed = good(500) + "\n" + junk(501) + "\n" + good(502)
+    marks = field.viterbi(quality_rules.line_features(mixed.encode())[0])
+    assert marks == [1] * 8 + [0] * 8 + [1] * 8
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs(spark, [(1, good(600), ""), (2, junk(601) + "\n" + junk(602), ""), (3, mixed, "")]), field).collect()}
+    assert got[1]["kept"] and not got[2]["kept"] and got[3]["kept"] and got[2]["content_words"] == 0
+    none = quality_rules.train_field(docs(spark, rows), own.limit(0))
+    assert none.viterbi(quality_rules.line_features(junk(1).encode())[0]) == [1] * 8
+
+
 def test_viterbi_is_the_best_of_all_paths():
     from itertools import product
 
