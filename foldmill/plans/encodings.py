@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from foldmill.operators import trees as tr
 from foldmill.sources import corpus
 from foldmill.sources import payloads as src
 
+#: Unicode white space, as the token pattern counts it.
+SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -87,6 +90,46 @@ def extractive_topk(spark, sf):
     return out.select("payload_id", "pos", F.col("line.at").cast("long").alias("place"), (-F.col("line.less")).cast("long").alias("score"))
 
 
+# All detectors of texts over views in which they find something.
+
+_VIEWS = f"""{_MD}, {src.LOGS_SQL}, {src.CI_SQL}, v AS (SELECT 'md' AS src, text FROM md UNION ALL SELECT 'logs', text FROM v_logs UNION ALL SELECT 'ci', text FROM v_ci
+  UNION ALL SELECT 'k8s', 'apiVersion: v1' || chr(10) || 'kind: Pod' || chr(10) || 'metadata:' || chr(10) || '  name: s' || s_suppkey || repeat(chr(10) || '  image: registry/' || s_name, 30) FROM supplier
+  UNION ALL SELECT 'code', 'import os' || repeat(chr(10) || 'def f' || p_partkey || '():' || chr(10) || '    return 1', p_partkey % 40) FROM part
+  UNION ALL SELECT 'tool', '[terminal] ' || p_name || chr(10) || '@@ 1 +2 @@' || chr(10) || 'Plan: 1 to add' || chr(10) || repeat('Ab9+', p_partkey % 80) FROM part
+  UNION ALL SELECT 'xml', '<order>' || n_name || '</order>' FROM nation UNION ALL SELECT 'html', '<body><a href=x>' || n_name || '</a> ' FROM nation)"""
+_N_LINES, _N_TOKENS = "len(string_split(text, chr(10)))", rf"len(regexp_extract_all(text, '[{SPACE}]+|[A-Za-z0-9_./:@=-]+|[^\pL\p{{Mn}}\p{{Me}}\p{{Mc}}\p{{Nd}}\p{{Nl}}\p{{Pc}}{SPACE}]'))"
+_BREAKS = "(length(text) - length(replace(text, chr(10), '')))"
+_LONG_PARTS = r"list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 40)"
+_TESTS = {
+    "blob_ref": "regexp_matches(text, '[A-Za-z0-9+/]{160,}')", "sidecar_ref": "length(text) >= 3000", "terraform_plan": "contains(text, 'Terraform will perform') OR contains(text, 'resource_changes') OR contains(text, 'Plan:')",
+    "k8s_yaml": "contains(text, 'apiVersion') AND contains(text, 'kind') AND (contains(text, 'metadata') OR contains(text, 'Deployment') OR contains(text, 'Service') OR contains(text, 'Pod') OR contains(text, 'ConfigMap'))",
+    "ci_output": "contains(text, chr(10)) AND regexp_matches(lower(text), 'failed|traceback|error:|pytest|passed|exit code')", "tool_output": r"regexp_matches(text, '(?m)^\s*\d+\||\[terminal\]|\[read_file\]|^@@|^diff --git')",
+    "html_visible": r"regexp_matches(text, '(?i)<html|<body|<div|<table|<a\s')", "markdown_outline": "len(regexp_extract_all(text, '\\n#')) >= 3",
+    "code_symbols": rf"{_N_LINES} >= 30 AND regexp_matches(text, '(?m)^\s*(def|class|function|const|interface|type|package|func)\s+')",
+    "domain_table": "length(text) >= 400 AND regexp_matches(text, 'apiVersion:|kind:|metadata:|# |<html|<body')", "code_tokens": rf"{_N_LINES} >= 20 AND regexp_matches(text, '(?m)^\s*(def|class|import|from)\b')",
+    "dedupe": f"contains(text, chr(10)) AND len({_LONG_PARTS}) >= 4 AND len(list_distinct({_LONG_PARTS})) < len({_LONG_PARTS})",
+    "chunk_store": f"length(text) >= 1200 AND (contains(text, chr(10) || chr(10)) OR {_BREAKS} >= 20)", "separator_segments": f"length(text) >= 500 AND (contains(text, chr(10) || chr(10)) OR contains(text, '---' || chr(10)) OR {_BREAKS} >= 20)",
+    "log_summary": rf"{_N_LINES} >= 20 AND regexp_matches(text, '\b(ERROR|WARN|WARNING|INFO|DEBUG|TRACE|CRITICAL)\b')", "log_templates": f"{_N_LINES} >= 8", "xml_path": r"regexp_matches(text, '^\s*<') AND ends_with(text, '>')", "meta_tokens": "length(text) >= 700",
+    "token_lz": f"{_N_TOKENS} >= 120", "grammar": f"{_N_TOKENS} >= 150", "pattern_hash": "contains(text, chr(10))", "transport_deflate": "length(text) >= 600", "extractive": r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 500",
+}
+
+
+@query(f"WITH {_VIEWS} " + " UNION ALL ".join(f"SELECT src, '{k}' AS kind, CAST(sum(CASE WHEN {t} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM v GROUP BY src" for k, t in _TESTS.items()))
+def detectors_on_views(spark, sf):
+    n, part = src.table(spark, sf, "nation"), src.table(spark, sf, "part")
+    s = src.table(spark, sf, "supplier")
+    key = F.col("p_partkey").cast("string")
+    made = {
+        "md": outlined(spark, sf).select("text"), "logs": src.logs(spark, sf).select("text"), "ci": src.ci(spark, sf).select("text"),
+        "k8s": s.select(F.concat(F.lit("apiVersion: v1\nkind: Pod\nmetadata:\n  name: s"), F.col("s_suppkey").cast("string"), F.repeat(F.concat(F.lit("\n  image: registry/"), "s_name"), F.lit(30))).alias("text")),
+        "code": part.select(F.concat(F.lit("import os"), F.repeat(F.concat(F.lit("\ndef f"), key, F.lit("():\n    return 1")), (F.col("p_partkey") % 40).cast("int"))).alias("text")),
+        "tool": part.select(F.concat(F.lit("[terminal] "), "p_name", F.lit("\n@@ 1 +2 @@\nPlan: 1 to add\n"), F.repeat(F.lit("Ab9+"), (F.col("p_partkey") % 80).cast("int"))).alias("text")),
+        "xml": n.select(F.concat(F.lit("<order>"), "n_name", F.lit("</order>")).alias("text")), "html": n.select(F.concat(F.lit("<body><a href=x>"), "n_name", F.lit("</a> ")).alias("text")),
+    }
+    wide = [df.agg(*(F.count_if(TEXT[k](T())).alias(k) for k in _TESTS)).select(F.lit(v).alias("src"), *_TESTS) for v, df in made.items()]
+    return reduce(DataFrame.unionByName, wide).unpivot("src", list(_TESTS), "kind", "n")
+
+
 # Logs.
 
 _TPL = rf"""WITH {src.LOGS_SQL}, n AS (SELECT payload_id, ls[i] AS line, i AS pos FROM (SELECT payload_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM v_logs)),
