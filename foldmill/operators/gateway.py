@@ -174,9 +174,8 @@ def is_rewritten_route(route: Column) -> Column:
 
 
 def telemetry(rewrites: DataFrame) -> DataFrame:
-    """Of each conversation: targets, applied, tokens and the rewrites themselves, in order (all turns of a conversation that were targets)."""
-    fact = F.struct("turn", "kind", "class", "applied", "reason", "chars_before", "chars_after")
-    return rewrites.groupBy("conv_id").agg(F.count(F.lit(1)).alias("targets"), F.count_if("applied").alias("applied"), F.sum("tokens_before").alias("tokens_before"), F.sum("tokens_after").alias("tokens_after"), F.array_sort(F.collect_list(fact)).alias("rewrites"))
+    """Totals of each conversation; sums only, since a conversation may be of any length. The rewrites of one request, listed, come with rewrite_requests()."""
+    return rewrites.groupBy("conv_id").agg(F.count(F.lit(1)).alias("targets"), F.count_if("applied").alias("applied"), F.count_if("blocked").alias("blocked"), F.sum("tokens_before").alias("tokens_before"), F.sum("tokens_after").alias("tokens_after"))
 
 
 def stats(rewrites: DataFrame) -> DataFrame:
