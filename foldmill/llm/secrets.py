@@ -39,6 +39,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _BLOCK = 128
+#: Character codes of runs are below this.
+_CODES = 123
 #: How often an ordinary name is in capitals, to one that isn't.
 CAPITALS = 0.1
 #: What a segment must give, in nats: for each pair, and besides, less a share for each pair until there are LONG.
@@ -150,11 +152,12 @@ def segments(v: str, evidence: float) -> str:
     return f"aggregate(sequence(0, size({v}) - 1), {start}, (a, j) -> {new}, a -> if(a.h > 0, {closed}, a.out))"
 
 
-def favoured(found: str, ratio: str, margin: float, evidence: float) -> Column:
+def favoured(found: str, ratio: str, evidence: float) -> Column:
     """Spans of the segments that the ratio favours in each of ``found`` (start, s)."""
-    k = len(ALPHABET)
-    index = f"transform(split(x.s, ''), c -> instr('{ALPHABET}', c) - 1)"
-    values = f"transform(sequence(0, size(i) - 2), j -> get({ratio}, get(i, j) * {k} + get(i, j + 1)) - double({margin!r}))"
+    index = "transform(split(x.s, ''), c -> ascii(c))"
+    values = f"transform(sequence(0, size(i) - 2), j -> get({ratio}, get(i, j) * {_CODES} + get(i, j + 1)))"
+    # No sum of pairs is over that of all pairs that favour randomness: most ordinary words are done with here.
+    hope = f"aggregate(v, 0D, (a, y) -> a + greatest(y, 0D)) > {evidence!r}D * greatest(0D, 1D - size(v) / {LONG}D)"
     # Segments as characters b to e (exclusive), grown to the separators and over short pieces next to them (base64 has separators in it);
     # a "=" before is none of the segment's, padding behind is.
     short = "[A-Za-z0-9]{0,4}+(?![A-Za-z0-9])"
@@ -167,14 +170,20 @@ def favoured(found: str, ratio: str, margin: float, evidence: float) -> Column:
     let = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
     spans = f"transform({merged}, y -> named_struct('start', x.start + y.b, 'end', x.start + y.e, 'kind', 'markov', 's', substring(x.s, y.b + 1, y.e - y.b)))"
     spans = f"filter({spans}, y -> y.end - y.start >= {SHORTEST} and size(array_distinct(split(y.s, ''))) >= {DISTINCT})"
-    whole = let(index, "i", let(values, "v", let(f"transform({cut}, q -> {grown})", "g", spans)))
+    none = "cast(array() as array<struct<start: int, end: int, kind: string, s: string>>)"
+    whole = let(index, "i", let(values, "v", f"if({hope}, {let(f'transform({cut}, q -> {grown})', 'g', spans)}, {none})"))
     return F.expr(f"flatten(transform({found}, x -> {whole}))")
 
 
 def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = MARGIN, evidence: float = EVIDENCE) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind, s, in order) for every row of ``docs``. A segment's log-likelihood ratio, less ``margin`` for each character pair, must be over what is left of ``evidence`` at its length: short ones need a higher ratio for each pair."""
     one, zero = pair_logs(samples)
-    ratio = F.array(*(F.lit(float(a - b)) for a, b in zip(one, zero)))
+    # What each pair of character codes is worth; pairs outside the alphabet don't occur in runs.
+    worth, k = [0.0] * _CODES**2, len(ALPHABET)
+    for i, a in enumerate(ALPHABET):
+        for j, b in enumerate(ALPHABET):
+            worth[ord(a) * _CODES + ord(b)] = one[i * k + j] - zero[i * k + j] - margin
+    ratio = F.split(F.lit(" ".join(map(repr, worth))), " ").cast("array<double>")  # folded to one literal when the query is planned
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", text.alias("t"))
     low = F.lower("t")
@@ -188,7 +197,7 @@ def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = MARGIN, ev
     out = out.withColumn("base", F.concat("p_assign", "p_access", "p_hex"))
     # The table of ratios rides along as a column once, not once for each lookup.
     out = out.withColumn("p_markov", pieces("p_markov", "base"))
-    out = out.withColumn("ratio", F.when(F.size("p_markov") > 0, ratio)).withColumn("p_markov", favoured("p_markov", "ratio", margin, evidence))
+    out = out.withColumn("ratio", F.when(F.size("p_markov") > 0, ratio)).withColumn("p_markov", favoured("p_markov", "ratio", evidence))
     return out.select("doc_id", _sorted(F.col("base")).alias("base"), _sorted(F.concat("base", "p_markov")).alias("spans"))
 
 
