@@ -108,6 +108,13 @@ def own_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on, Arrow batches of this session hold ``rows`` rows at most: whole texts in batches of Spark's 10,000 take much of a small executor's memory, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < conf_int(spark, key, 10_000) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class WordHashes(dict):
     """64-bit xxh3 of words (bytes), kept for the words seen lately; the memo is emptied when it is full, so memory is bounded."""
 

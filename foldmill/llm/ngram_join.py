@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldmill.llm._shared import WordHashes, as_bytes, conf_int, release, saved, shingles, spread_join, table
+from foldmill.llm._shared import WordHashes, as_bytes, conf_int, release, saved, shingles, small_batches, spread_join, table
 from foldmill.llm.decontaminate import BLOOM_BITS, Bloom
 
 BLOCK_NGRAMS = 1_000_000
@@ -449,6 +449,7 @@ def _merged_by_pivots(members: DataFrame, sets: DataFrame, percent: int) -> tupl
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``: rows link at a Jaccard similarity of ``percent`` or more. With ``links`` also n_links, the number of other rows that the row links with (equal ones are counted, too)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = _classes(docs, k)
     hopeful = _hopeful(docs, k, percent)
     sets = _sets(docs, hopeful, k)
