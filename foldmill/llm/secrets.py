@@ -72,11 +72,28 @@ def block_starts(kinds: list[str]) -> dict[str, Column]:
     return {f"b_{k}": F.expr(blocks.format(k=k, n=_BLOCK)) for k in kinds}
 
 
-def placed(kinds: list[str]) -> dict[str, Column]:
-    """Step 4: structs start, end, kind, s of the matches."""
+def placed(kinds: list[str], only: dict[str, str]) -> dict[str, Column]:
+    """Step 4: structs start, end, kind, s of the matches, for kinds in ``only`` of those for whose string m the condition holds."""
     start = "get(b_{k}, int(i div {n})) + get(g_{k}, i) + if(i % {n} = 0, 0, aggregate(sequence(int(i div {n}) * {n}, i - 1), 0, (x, j) -> x + get(g_{k}, j) + length(get(m_{k}, j))))"
-    whole = "transform(m_{k}, (m, i) -> named_struct('start', " + start + ", 'end', " + start + " + length(m), 'kind', '{k}', 's', m))"
-    return {f"p_{k}": F.expr(whole.format(k=k, n=_BLOCK)) for k in kinds}
+    each = "named_struct('start', " + start + ", 'end', " + start + " + length(m), 'kind', '{k}', 's', m)"
+    some = lambda k: f"filter(transform(m_{k}, (m, i) -> if({only[k]}, {each}, null)), y -> y is not null)" if k in only else f"transform(m_{k}, (m, i) -> {each})"
+    return {f"p_{k}": F.expr(some(k).replace("{k}", k).replace("{n}", str(_BLOCK))) for k in kinds}
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def valued(s: str, ratio: str, body: str) -> str:
+    """SQL: ``body`` with v for what each character pair of string ``s`` is worth."""
+    values = f"transform(sequence(0, size(i) - 2), j -> get({ratio}, get(i, j) * {_CODES} + get(i, j + 1)))"
+    return let(f"transform(split({s}, ''), c -> ascii(c))", "i", let(values, "v", body))
+
+
+def hope(evidence: float) -> str:
+    """SQL: whether any segment of pairs worth ``v`` can have enough evidence: no sum is over that of all pairs that favour randomness, nor is more asked of any part than of the whole."""
+    return f"aggregate(v, 0D, (a, y) -> a + greatest(y, 0D)) > {evidence!r}D * greatest(0D, 1D - size(v) / {LONG}D)"
 
 
 def pair_logs(samples: DataFrame) -> tuple[list[float], list[float]]:
@@ -154,10 +171,6 @@ def segments(v: str, evidence: float) -> str:
 
 def favoured(found: str, ratio: str, evidence: float) -> Column:
     """Spans of the segments that the ratio favours in each of ``found`` (start, s)."""
-    index = "transform(split(x.s, ''), c -> ascii(c))"
-    values = f"transform(sequence(0, size(i) - 2), j -> get({ratio}, get(i, j) * {_CODES} + get(i, j + 1)))"
-    # No sum of pairs is over that of all pairs that favour randomness: most ordinary words are done with here.
-    hope = f"aggregate(v, 0D, (a, y) -> a + greatest(y, 0D)) > {evidence!r}D * greatest(0D, 1D - size(v) / {LONG}D)"
     # Segments as characters b to e (exclusive), grown to the separators and over short pieces next to them (base64 has separators in it);
     # a "=" before is none of the segment's, padding behind is.
     short = "[A-Za-z0-9]{0,4}+(?![A-Za-z0-9])"
@@ -167,11 +180,11 @@ def favoured(found: str, ratio: str, evidence: float) -> Column:
     grown = f"named_struct('b', if(substring(x.s, q.b + 1, 1) = '=', q.b + 1, q.b - {back}), 'e', q.e + {on})"
     cut = f"transform({segments('v', evidence)}, g -> named_struct('b', g.b, 'e', g.e + 2))"
     merged = "aggregate(g, cast(array() as array<struct<b: int, e: int>>), (a, y) -> if(size(a) > 0 and y.b < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('b', element_at(a, -1).b, 'e', greatest(y.e, element_at(a, -1).e)))), array_append(a, y)))"
-    let = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
     spans = f"transform({merged}, y -> named_struct('start', x.start + y.b, 'end', x.start + y.e, 'kind', 'markov', 's', substring(x.s, y.b + 1, y.e - y.b)))"
     spans = f"filter({spans}, y -> y.end - y.start >= {SHORTEST} and size(array_distinct(split(y.s, ''))) >= {DISTINCT})"
     none = "cast(array() as array<struct<start: int, end: int, kind: string, s: string>>)"
-    whole = let(index, "i", let(values, "v", f"if({hope}, {let(f'transform({cut}, q -> {grown})', 'g', spans)}, {none})"))
+    grown_all = let(f"transform({cut}, q -> {grown})", "g", spans)
+    whole = valued("x.s", ratio, f"if({hope(evidence)}, {grown_all}, {none})")
     return F.expr(f"flatten(transform({found}, x -> {whole}))")
 
 
@@ -191,13 +204,13 @@ def scan_secrets(docs: DataFrame, samples: DataFrame, margin: float = MARGIN, ev
     t = F.col("t")
     kinds = [("assign", ASSIGN, keyword), ("access", ACCESS, F.contains(t, F.lit("AKIA"))), ("hex", HEX, F.lit(True)), ("markov", CANDIDATE, F.lit(True))]
     out = base.withColumns(find("t", kinds)).withColumns(gap_lengths("t", kinds)).drop("t")
-    out = out.withColumns(block_starts(KINDS)).withColumns(placed(KINDS)).select("doc_id", *(f"p_{k}" for k in KINDS))
+    out = out.withColumn("ratio", ratio).withColumns(block_starts(KINDS)).withColumns(placed(KINDS, {"markov": valued("m", "ratio", hope(evidence))}))
+    out = out.select("doc_id", "ratio", *(f"p_{k}" for k in KINDS))
     value = lambda x: F.regexp_extract(x["s"], "^" + ASSIGN, 2)
     out = out.withColumn("p_assign", F.filter("p_assign", lambda x: F.length(value(x)) >= 6))
     out = out.withColumn("base", F.concat("p_assign", "p_access", "p_hex"))
-    # The table of ratios rides along as a column once, not once for each lookup.
     out = out.withColumn("p_markov", pieces("p_markov", "base"))
-    out = out.withColumn("ratio", F.when(F.size("p_markov") > 0, ratio)).withColumn("p_markov", favoured("p_markov", "ratio", evidence))
+    out = out.withColumn("p_markov", favoured("p_markov", "ratio", evidence))
     return out.select("doc_id", _sorted(F.col("base")).alias("base"), _sorted(F.concat("base", "p_markov")).alias("spans"))
 
 
