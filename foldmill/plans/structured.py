@@ -20,10 +20,6 @@ def T():
     return F.col("text")
 
 
-def P():
-    return F.col("payload")
-
-
 
 def _lines(key: str, *parts) -> DataFrame:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, F.concat(*parts).alias("x")))), lambda r: r["x"]), "\n")
@@ -79,8 +75,8 @@ _RECORDS = "array<struct<key:long,status:string,name:string,priority:string>>"
 
 def _records_back(kind: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        made = records(spark, sf).where("n >= 3").select("payload_id", tr.encoded(kind, T()).alias("payload"))
-        back = made.select("payload_id", F.explode(F.from_json(tr.decoded(kind, P()), _RECORDS)).alias("r"))
+        # One call inside the other: both run in one Python worker, and payloads don't go to the JVM and back.
+        back = records(spark, sf).where("n >= 3").select("payload_id", F.explode(F.from_json(tr.decoded(kind, tr.encoded(kind, T())), _RECORDS)).alias("r"))
         return back.select("payload_id", "r.*")
 
     return run
